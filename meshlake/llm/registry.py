@@ -1,8 +1,10 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .mixing import op5_mixing
 from .simhash_dedup import op6_simhash_dedup
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
 }
 

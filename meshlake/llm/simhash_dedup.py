@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_kept, kept, partitions
+from ._shared import kept, partitions
 from .components import components
 
 SHINGLE = 4
