@@ -1,11 +1,13 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .language_id import op1_language_id
 from .media import op8_media
 from .mixing import op5_mixing
 from .simhash_dedup import op6_simhash_dedup
 from .warc import op2_warc
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op8_media": op8_media,
     "op5_mixing": op5_mixing,
