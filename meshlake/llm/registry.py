@@ -1,17 +1,23 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .language_id import op1_language_id
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .media import op8_media
 from .mixing import op5_mixing
+from .quality import op7_quality
 from .simhash_dedup import op6_simhash_dedup
 from .warc import op2_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
+    "op3_line_dedup": op3_line_dedup,
+    "op7_quality": op7_quality,
     "op8_media": op8_media,
     "op5_mixing": op5_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
