@@ -1,6 +1,8 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .decontaminate import op10_decontamination
 from .language_id import op1_language_id
+from .licenses import op9_license_scan
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .media import op8_media
 from .mixing import op5_mixing
@@ -14,6 +16,8 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
+    "op9_license_scan": op9_license_scan,
+    "op10_decontamination": op10_decontamination,
     "op5_mixing": op5_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
 }
