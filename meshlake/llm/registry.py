@@ -8,12 +8,14 @@ from .media import op8_media
 from .mixing import op5_mixing
 from .quality import op7_quality
 from .simhash_dedup import op6_simhash_dedup
+from .suffix_dedup import op4_suffix_dedup
 from .warc import op2_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
     "op9_license_scan": op9_license_scan,
