@@ -222,13 +222,162 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that name their component: one document of each group of near-duplicates, all columns kept.
+#: Of wide fingerprints: 64-bit words, bits at which five-word shingle sets of similarity 0.8 surely link, block width.
+WORDS = 4
+WIDE_RADIUS = 46
+BLOCK_BITS = 8
+#: Groups up to this size are compared together, by offsets.
+SMALL = 32
+
+
+def wide_fingerprint(shingle_hashes: np.ndarray) -> np.ndarray:
+    """SimHash of `WORDS` words of a set of 64-bit shingle hashes; zeros for an empty set."""
+    h = np.unique(shingle_hashes)
+    out = np.zeros(WORDS, np.uint64)
+    for w in range(WORDS if len(h) else 0):
+        x = h + np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(bits * 2 > len(h)).view(np.uint64)[0]
+    return out
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, f0, f1, ...: the words, signed) of the five-word shingles of each text."""
+    from . import words as W
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = W.Vocabulary()
+        for batch in batches:
+            out = np.zeros((batch.num_rows, WORDS), np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                w = np.array(vocabulary.hashes(t.as_py() or b""), np.uint64)
+                if len(w):
+                    out[i] = wide_fingerprint(W.shingles(w, min(W.SHINGLE, len(w))))
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], names=["doc_id", *(f"f{k}" for k in range(WORDS))])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint", *(f"f{k} bigint" for k in range(WORDS))]))
+
+
+def wide_tries(n: int) -> list[tuple[int, ...]]:
+    """For each trie the blocks at its top: two 8-bit blocks, or three where `n` fingerprints would crowd them.
+
+    At similarity 0.8 a block is equal with a probability of about 0.27, so of the 64 pairs of blocks about 4.7 are, and of
+    the 320 triples about 6.4.
+    """
+    m = 64 * WORDS // BLOCK_BITS
+    if n <= 1 << 28:
+        return [(i, (i + d) % m) for d in (1, 5) for i in range(m)]
+    return [(i, (i + d) % m, (i + e) % m) for d, e in ((1, 5), (2, 9), (3, 10), (1, 12), (4, 15), (6, 13), (2, 11), (5, 14), (3, 8), (7, 16)) for i in range(m)]
+
+
+def spread(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) edges of a spanning forest of the links among rows of `fp` (n x words): each row taken looks at the rows not yet taken."""
+    left, edges = np.arange(len(fp)), []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            some, front = front[:64], front[64:]
+            near = np.bitwise_count(fp[some, None, :] ^ fp[None, left, :]).sum(axis=2, dtype=np.int64) <= radius
+            hit = near.any(axis=0)
+            if hit.any():
+                edges.append((some[near[:, hit].argmax(axis=0)], left[hit]))
+                front, left = np.concatenate([front, left[hit]]), left[~hit]
+    return tuple(np.concatenate(x) for x in zip(*edges)) if edges else (left, left)
+
+
+def _groups(radius: int):
+    """Rows sorted by (trie, top, c0, c1), then id and words, to edges whose components are those of the links in each group."""
+
+    def edges(held: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.diff(start)
+        group = np.repeat(np.arange(len(size)), size)
+        fp, ids = np.ascontiguousarray(held[5:, : start[-1]].T).view(np.uint64), held[4, : start[-1]]
+        a, b = [], []
+        rows = np.nonzero((size <= SMALL)[group])[0]
+        for d in range(1, SMALL):
+            rows = rows[rows + d < len(group)]
+            rows = rows[group[rows] == group[rows + d]]
+            if not len(rows):
+                break
+            near = rows[np.bitwise_count(fp[rows] ^ fp[rows + d]).sum(axis=1, dtype=np.int64) <= radius]
+            a.append(ids[near])
+            b.append(ids[near + d])
+        for g in np.nonzero(size > SMALL)[0].tolist():
+            i, j = spread(fp[start[g] : start[g + 1]], radius)
+            a.append(ids[start[g] + i])
+            b.append(ids[start[g] + j])
+        return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((5 + WORDS, 0), np.int64)
+        for last, batch in itertools.chain(((False, b) for b in batches), [(True, None)]):
+            if batch is not None:
+                held = np.concatenate([held, np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(5 + WORDS)])], axis=1)
+            if not held.shape[1]:
+                continue
+            cut = np.nonzero((held[:4, 1:] != held[:4, :-1]).any(axis=0))[0] + 1
+            start = np.array([0, *cut.tolist(), *([held.shape[1]] if last else [])])
+            a, b = edges(held, start)
+            held = held[:, start[-1] :]
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def wide_links(fps: DataFrame, n: int, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
+    """Edges (a, b) between ids of `fps` (id, f0, ...) within `radius` bits; `n`: how many rows it has."""
+
+    def block(i: int):
+        word, at = divmod(i * BLOCK_BITS, 64)
+        return F.shiftrightunsigned(f"f{word}", at).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+
+    def top(blocks: tuple[int, ...]):
+        out = F.lit(0).cast("bigint")
+        for i in blocks:
+            out = F.shiftleft(out, BLOCK_BITS).bitwiseOR(block(i))
+        return out
+
+    words = [f"f{k}" for k in range(WORDS)]
+    keys = fps.select("id", *words, F.posexplode(F.array(*[top(t) for t in wide_tries(n)])).alias("trie", "top"))
+    big = keys.groupBy("trie", "top").count().where(F.col("count") > cap).select("trie", "top", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
+    big = kept(big, "subtrees")
+    if big.isEmpty():
+        cells = keys.select("trie", "top", F.lit(0).alias("c0"), F.lit(0).alias("c1"), "id", *words)
+    else:
+        cut = keys.join(big, ["trie", "top"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        cut = cut.withColumn("c", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = cut.select("trie", "top", F.least("c", "o").alias("c0"), F.greatest("c", "o").alias("c1"), "id", *words)
+    group = ["trie", "top", "c0", "c1"]
+    dealt = cells.repartition(partitions(fps.sparkSession), *group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(_groups(radius), "a bigint, b bigint")
+
+
+def alike(docs: DataFrame, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose five-word shingle sets have a similarity of about 0.8 or more.
+
+    The link is a distance of at most `radius` bits of a 256-bit SimHash, which needs more than blocks that must agree:
+    tries with several choices of top blocks find a pair of similarity 0.8 with a probability of about 0.99. Texts without
+    words are alike. Rows with a null doc_id are left out. An empty table gives an empty result.
+    """
+    words = [f"f{k}" for k in range(WORDS)]
+    rows = kept(wide_fingerprints(docs.where("doc_id IS NOT NULL")), "fingerprints")
+    fps = kept(rows.groupBy(*words).agg(F.min("doc_id").alias("id")), "distinct")
+    star = components(kept(wide_links(fps, fps.count(), radius, cap).distinct(), "links"))
+    named = fps.join(star, fps["id"] == star["node"], "left").select(*words, F.coalesce("root", "id").alias("component_id"))
+    return rows.join(named, words).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """The rows of `docs` that name their group of similar texts: one document of each group stays, all columns kept.
 
     Rows with a null doc_id stay, as they can't be told apart. Of rows that repeat a doc_id one stays.
     """
-    found = near_duplicates(docs, shingle, seed, radius)
-    keep = kept(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept")
+    keep = kept(alike(docs, radius).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept")
     out = docs.join(keep.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
     if not keep.where("n_rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
