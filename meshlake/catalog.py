@@ -64,7 +64,8 @@ class Catalog:
     def from_json(cls, data: dict) -> Catalog:
         out = cls(**{**data, "dims": [Dimension(**d) for d in data["dims"]], "variables": [Variable(**v) for v in data["variables"]]})
         for v in out.variables:  # as files are checked when they are opened
-            require(all(not out.dims[d].unlimited for d in v.dims[1:]) or not out.classic, Code.EUNLIMPOS, v.name)
+            require(all(not out.dims[d].unlimited for d in v.dims[1:]), Code.EUNLIMPOS, v.name)
+            v.record = -1  # the current record belongs to whoever has the dataset open
         return out
 
     @property
