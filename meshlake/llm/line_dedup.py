@@ -54,8 +54,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     such rows all stay. A text whose chunks are all removed becomes empty. An empty table gives an empty result.
     """
     key = F.col("doc_id").cast("bigint").alias("__id")
-    parts = chunked(docs.select(key, "text")).select("__id", "__lines", F.posexplode("__chunks").alias("__k", "__chunk")).where("__chunk.lines > 1")
-    parts = kept(parts.select("__id", "__k", F.unhex(F.md5(_chunk_text(F.col("__chunk")).cast("binary"))).alias("__digest")), "chunks")
+    digests = F.transform("__chunks", lambda c, i: F.struct(i.alias("k"), F.when(c["lines"] > 1, F.unhex(F.md5(_chunk_text(c).cast("binary")))).alias("digest")))
+    parts = chunked(docs.select(key, "text")).select("__id", F.explode(F.filter(digests, lambda x: x["digest"].isNotNull())).alias("x"))
+    parts = kept(parts.select("__id", F.col("x.k").alias("__k"), F.col("x.digest").alias("__digest")), "chunks")
     place = F.struct(F.col("__id").isNull().alias("last"), "__id", F.col("__k").alias("k"))
     many = parts.groupBy("__digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = parts.join(many, "__digest").select("__id", F.struct(F.col("__k").alias("k"), F.col("__digest").alias("digest"), (place != F.col("first")).alias("later")).alias("hit"))
@@ -66,9 +67,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         return docs.join(by, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__of")), "left").drop("__of")
 
     joined = kept(met(lists), "met")
-    found = chunked(joined.where("__hits IS NOT NULL").select("text", "__hits"))
-    found = found.select("__lines", "__chunks", F.explode("__hits").alias("h")).select(F.col("h.digest").alias("digest"), F.element_at("__chunks", F.col("h.k") + 1).alias("c"), "__lines")
-    same = found.where("c IS NOT NULL").select("digest", _chunk_text(F.col("c")).alias("body")).where(F.unhex(F.md5(F.col("body").cast("binary"))) == F.col("digest"))
+    bodies = F.transform(F.filter("__hits", lambda h: h["k"] < F.size("__chunks")), lambda h: F.struct(h["digest"].alias("digest"), _chunk_text(F.element_at("__chunks", h["k"] + 1)).alias("body")))
+    found = chunked(joined.where("__hits IS NOT NULL").select("text", "__hits")).select(F.explode(bodies).alias("x")).select("x.digest", "x.body")
+    same = found.where(F.unhex(F.md5(F.col("body").cast("binary"))) == F.col("digest"))
     differ = kept(same.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("bad")), "differ")
     if not differ.isEmpty():  # equal digests of other bytes: those chunks stay
         joined = kept(met(again.join(differ, F.col("hit.digest") == F.col("bad"), "left_anti").groupBy("__id").agg(F.collect_list("hit").alias("__hits"))), "met")
