@@ -139,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark item; same columns. Rows with a null doc_id go if any such row holds one."""
     found = kept(contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found["hit_id"]), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
