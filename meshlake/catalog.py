@@ -17,6 +17,8 @@ MAX_NAME = 256
 DEFLATE, SZIP, BZIP2, ZSTANDARD = "deflate", "szip", "bzip2", "zstandard"
 #: Parquet codec for each storage filter; others are recorded only.
 CODECS = {DEFLATE: "gzip", ZSTANDARD: "zstd"}
+#: Registered numbers of the filters that have a codec.
+FILTER_CODECS = {1: DEFLATE, 32015: ZSTANDARD}
 QUANTIZE_MODES = ("none", "bitgroom", "granular_bitround", "bitround")
 
 
@@ -261,6 +263,24 @@ class Catalog:
         require(all(x >= 0 for x in sizes.values()) and 0 <= sizes.get("preemption", 0) <= 1, Code.EINVAL, "chunk cache")
         return self.caches.setdefault(key, {}) | (self.caches[key].update(sizes) or {})
 
+    def def_filter(self, varid: int | str, number: int, params: list[int] = ()) -> None:
+        """Record a storage filter by its registered number; those with a Parquet codec take effect."""
+        self.storage(varid, filters=[*self.var(varid).storage.get("filters", []), [number, list(params)]])
+        if number in FILTER_CODECS:
+            self.storage(varid, **{FILTER_CODECS[number]: params[0] if params else 1})
+
+    def filter_ids(self, varid: int | str) -> list[int]:
+        return [number for number, _ in self.storage(varid).get("filters", [])]
+
+    def filter_info(self, varid: int | str, number: int) -> list[int]:
+        found = next((p for n, p in self.storage(varid).get("filters", []) if n == number), None)
+        require(found is not None, Code.EINVAL, f"filter {number}")
+        return found
+
+    def filter_available(self, number: int) -> bool:
+        require(not self.classic, Code.ENOTNC4)
+        return number in FILTER_CODECS
+
     def codec(self, varid: int | str) -> str:
         return next((CODECS[k] for k in self.var(varid).storage if k in CODECS), "snappy")
 

@@ -58,7 +58,7 @@ def _shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 
 def _session(spark: SparkSession, num_compute: int = 4, num_io: int = 2, **rest) -> GridSession:
-    return GridSession(spark, num_compute, num_io, blocksize=4096, **rest)
+    return GridSession(spark, num_compute, num_io, blocksize=1024, **rest)
 
 
 def _local(decomposition: Decomposition, data: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from math import prod
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,7 @@ class Dataset:
     def __init__(self, session: GridSession, path: str, catalog: Catalog, writable: bool):
         self.session, self.path, self.catalog, self.writable = session, path.rstrip("/"), catalog, writable
         self.queue: dict[tuple[int, int], list[tuple]] = {}
+        self.pool, self.pending = ThreadPoolExecutor(1), []
         self.open_ = True
 
     # Files
@@ -65,8 +67,11 @@ class Dataset:
 
     def close(self) -> None:
         self._live()
+        while self.pending:
+            self.pending.pop().result()
         if self.writable:
             self.sync()
+        self.pool.shutdown()
         self.open_ = False
 
     def __enter__(self) -> Dataset:
@@ -188,6 +193,12 @@ class Dataset:
         self.catalog.defining = False
         self._save()
 
+    def sync_later(self) -> Future:
+        """Store what is queued in the background, so that the caller goes on computing; close waits for it."""
+        self._live()
+        self.pending.append(self.pool.submit(self.sync))
+        return self.pending[-1]
+
     def read_darray(self, varid: int | str, decomposition: Decomposition, rec: int | None = None) -> DataFrame:
         """(task, k, value) of a record by a map; holes of the map give null."""
         self._live()

@@ -223,6 +223,9 @@ def test_storage_options(spark, session, path):
     assert code(ds.storage, "v", endian="middle") == Code.EINVAL
     ds.storage("v", zstandard=3, chunks=[2], endian="little", quantize=("bitround", 4))
     assert ds.codec("v") == "zstd"
+    ds.def_var("w", "int", [0])
+    ds.def_filter("w", 1, [5])
+    assert (ds.filter_ids("w"), ds.filter_info("w", 1), ds.codec("w"), ds.filter_available(99)) == ([1], [5], "gzip", False)
     ds.enddef()
     d = Decomposition.block(session, (4,))
     ds.write_darray("v", d, d.map.select("task", "k", (F.col("goff") + 1 / 3).cast("float").alias("value")))
@@ -260,6 +263,17 @@ def test_subset_layout(spark):
     assert first == [0, 1, 4, 5, 8, 9, 12, 16]
 
 
+def test_background_sync(spark, session, path):
+    ds = Dataset.create(session, path)
+    ds.def_var("v", "int", [ds.def_dim("x", 4)])
+    ds.enddef()
+    d = Decomposition.block(session, (4,))
+    ds.write_darray("v", d, d.map.select("task", "k", F.lit(3).alias("value")))
+    ds.sync_later()
+    ds.close()
+    assert set(pairs(Dataset.open(session, path).get_var("v")).values()) == {3}
+
+
 def test_session(spark):
     s = GridSession(spark, 16, 5, stride=3, base=1, handler=Handler.RETURN)
     assert s.is_io(4)
