@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,27 +38,45 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that `kept` has made, in order.
+_made: list[str] = []
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """`df` written as a table in the shared folder and read again: it cuts lineage, and later readers don't compute it anew.
 
-    Spark's commit protocol makes the write safe against lost executors and repeated tasks.
+    Spark's commit protocol makes the write safe against lost executors and repeated tasks. The table stays until `released`
+    or the end of the program deletes it.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    if not _made:
+        atexit.register(_delete_all)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_kept(df: DataFrame) -> None:
-    """Delete the files of a table made by `kept` that no plan needs any more."""
-    spark = df.sparkSession
-    root = shared_root(spark).removeprefix("file://")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _delete_all() -> None:
+    spark = SparkSession.getActiveSession()
+    while spark is not None and spark.sparkContext._jsc is not None and _made:
+        path = _made.pop()
+        with contextlib.suppress(Exception):  # the cluster may be gone by now
+            _delete(spark, path)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, the tables that were kept inside; results that need them must have been written by then."""
+    first = len(_made)
+    yield
+    while len(_made) > first:
+        _delete(spark, _made.pop())
 
 
 def partitions(spark: SparkSession) -> int:
