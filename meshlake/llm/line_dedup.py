@@ -64,7 +64,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     def met(lists: DataFrame) -> DataFrame:
         by = lists.select(F.col("__id").alias("__of"), "__hits")
-        return docs.join(by, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__of")), "left").drop("__of")
+        return docs.join(by.hint("merge"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("__of")), "left").drop("__of")
 
     joined = kept(met(lists), "met")
     bodies = F.transform(F.filter("__hits", lambda h: h["k"] < F.size("__chunks")), lambda h: F.struct(h["digest"].alias("digest"), _chunk_text(F.element_at("__chunks", h["k"] + 1)).alias("body")))

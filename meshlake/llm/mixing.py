@@ -135,7 +135,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     on = docs["doc_id"].eqNullSafe(F.col("mix__doc_id")) & docs["source"].eqNullSafe(F.col("mix__source"))
     same = kept(found.where("mix__rows > 1").limit(1), "repeats")
-    out = docs.join(found, on & (size == F.col("mix__size")))
+    out = docs.join(found.hint("merge"), on & (size == F.col("mix__size")))  # as many as documents: the same plan at every size
     if same.isEmpty():
         times = F.col("mix__copies")
     else:

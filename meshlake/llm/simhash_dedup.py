@@ -378,7 +378,8 @@ def deduplicated(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     Rows with a null doc_id stay, as they can't be told apart. Of rows that repeat a doc_id one stays.
     """
     keep = kept(alike(docs, radius).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept")
-    out = docs.join(keep.select("kept_id"), docs["doc_id"] == keep["kept_id"], "left_semi")
+    ids = keep.select("kept_id").hint("merge")  # as many as documents: the same plan at every size
+    out = docs.join(ids, docs["doc_id"] == keep["kept_id"], "left_semi")
     if not keep.where("n_rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL"))
