@@ -222,10 +222,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of wide fingerprints: 64-bit words, bits at which five-word shingle sets of similarity 0.8 surely link, block width.
+#: Of wide fingerprints: 64-bit words, bits up to which a pair is a candidate, block width.
 WORDS = 4
-WIDE_RADIUS = 46
+WIDE_RADIUS = 60
 BLOCK_BITS = 8
+#: Bands of two MinHash values that complement the blocks: a pair of similarity 0.8 shares none with a probability of 0.36 ** 8.
+BANDS = 8
+_FACTOR, _SHIFT = np.random.default_rng(17).integers(0, 1 << 63, (2, 2 * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Groups up to this size are compared together, by offsets.
 SMALL = 32
 
@@ -244,22 +247,50 @@ def wide_fingerprint(shingle_hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shingle_set(vocabulary, text: bytes | None) -> np.ndarray:
+    """Sorted hashes of the five-word shingles of `text`; a shorter text is one shingle, whole."""
+    from . import words as W
+
+    w = np.array(vocabulary.hashes(text or b""), np.uint64)
+    return np.unique(W.shingles(w, min(W.SHINGLE, len(w)))) if len(w) else w
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """A key for each of `BANDS` pairs of MinHash values of a shingle set; zeros for an empty set."""
+    if not len(s):
+        return np.zeros(BANDS, np.uint64)
+    x = s * _FACTOR + _SHIFT
+    x ^= x >> np.uint64(31)
+    low = (x * np.uint64(0x94D049BB133111EB)).min(axis=1)
+    return low[::2] * np.uint64(0x9E3779B97F4A7C15) + low[1::2]
+
+
+def _node(s: np.ndarray) -> int:
+    """The number, signed, by which a shingle set is known."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 5)).view(np.int64))
+
+
+def _text_key():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, ...: the words, signed) of the five-word shingles of each text."""
+    """(doc_id, key, id, f0, ...: the words, m0, ...: the bands, signed) of each text: `key` is a hash of the text, `id` one of its shingle set."""
     from . import words as W
 
+    names = [*(f"f{k}" for k in range(WORDS)), *(f"m{k}" for k in range(BANDS))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = W.Vocabulary()
         for batch in batches:
-            out = np.zeros((batch.num_rows, WORDS), np.uint64)
-            for i, t in enumerate(batch.column(1)):
-                w = np.array(vocabulary.hashes(t.as_py() or b""), np.uint64)
-                if len(w):
-                    out[i] = wide_fingerprint(W.shingles(w, min(W.SHINGLE, len(w))))
-            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], names=["doc_id", *(f"f{k}" for k in range(WORDS))])
+            out, node = np.zeros((batch.num_rows, WORDS + BANDS), np.uint64), np.zeros(batch.num_rows, np.int64)
+            for i, t in enumerate(batch.column(2)):
+                s = _shingle_set(vocabulary, t.as_py())
+                out[i, :WORDS], out[i, WORDS:], node[i] = wide_fingerprint(s), band_keys(s), _node(s)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(node), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], names=["doc_id", "key", "id", *names])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, ", ".join(["doc_id bigint", *(f"f{k} bigint" for k in range(WORDS))]))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key().alias("key"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in ["doc_id", "key", "id", *names]))
 
 
 def wide_tries(n: int) -> list[tuple[int, ...]]:
@@ -333,14 +364,16 @@ def _groups(radius: int):
     return run
 
 
-def wide_links(fps: DataFrame, tries: list[tuple[int, ...]], radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
-    """Edges (a, b) between ids of `fps` (id, f0, ...) that differ and have rows within `radius` bits below a top of `tries`."""
+def wide_links(fps: DataFrame, tries: list[tuple[int, ...] | str], radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
+    """Edges (a, b) between ids of `fps` (id, f0, ...) that differ and have rows within `radius` bits that share a top of `tries`: blocks, or a column."""
 
     def block(i: int):
         word, at = divmod(i * BLOCK_BITS, 64)
         return F.shiftrightunsigned(f"f{word}", at).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
-    def top(blocks: tuple[int, ...]):
+    def top(blocks: tuple[int, ...] | str):
+        if isinstance(blocks, str):
+            return F.col(blocks)
         out = F.lit(0).cast("bigint")
         for i in blocks:
             out = F.shiftleft(out, BLOCK_BITS).bitwiseOR(block(i))
@@ -361,36 +394,152 @@ def wide_links(fps: DataFrame, tries: list[tuple[int, ...]], radius: int = WIDE_
     return dealt.mapInArrow(_groups(radius), "a bigint, b bigint")
 
 
-def alike(docs: DataFrame, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
-    """(doc_id, component_id): groups of texts whose five-word shingle sets have a similarity of about 0.8 or more.
+#: Similarity of shingle sets from which texts are linked, as a fraction of whole numbers.
+SIMILAR = (4, 5)
+#: Most shingles of a part of a group that one task takes at once.
+PART = 1 << 21
+
+
+def similar_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) edges of a spanning forest of the links among `sets` (each sorted, without repeats) whose exact similarity is `SIMILAR` or more."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(number, kind="stable")]
+    begin, at = np.cumsum(count) - count, np.concatenate([[0], np.cumsum(size)])
+    left, edges = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        front = [first] if left[first] else []
+        left[first] = False
+        while front and left.any():
+            i = front.pop()
+            own = number[at[i] : at[i + 1]]
+            n = count[own]
+            place = np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(holders[place], minlength=len(sets))
+            hit = np.nonzero(left & (both * SIMILAR[1] >= (size[i] + size - both) * SIMILAR[0]))[0]
+            left[hit] = False
+            front += hit.tolist()
+            edges.append((np.full(len(hit), i), hit))
+    return tuple(np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, c0, c1, id, shingles) sorted by the first three to the edges of each cell's exact forest."""
+
+    def edges(rows: dict[int, bytes]) -> pa.RecordBatch:
+        ids = np.array(list(rows), np.int64)
+        i, j = similar_links([np.frombuffer(s, np.uint64) for s in rows.values()])
+        return pa.record_batch([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    cell, rows = None, {}
+    for batch in batches:
+        *cells, ids, sets = (c.to_pylist() for c in batch.columns)
+        for now, i, s in zip(zip(*cells), ids, sets):
+            if now != cell:
+                if len(rows) > 1:
+                    yield edges(rows)
+                cell, rows = now, {}
+            rows[i] = s
+    if len(rows) > 1:
+        yield edges(rows)
+
+
+def _shingled(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(root, id, n, shingles) of each of `members` (root, id, doc_id, key) from its text."""
+    from . import words as W
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = W.Vocabulary()
+        for batch in batches:
+            sets = [_shingle_set(vocabulary, t.as_py()) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "id", "n", "shingles"])
 
-    The link is a distance of at most `radius` bits of a 256-bit SimHash, which needs more than blocks that must agree:
-    tries with several choices of top blocks find a pair of similarity 0.8 with a probability of about 0.99. An eighth of the
-    tries goes first; what it joins counts as one in the others, so large groups of copies give few more edges. Texts without
-    words are alike. Rows with a null doc_id are left out. An empty table gives an empty result.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key().alias("key"), F.col("text").cast("string").cast("binary").alias("text"))
+    found = texts.join(members.hint("merge"), ["doc_id", "key"])  # members grow with documents: the same plan at every size
+    return found.select("root", "id", "text").mapInArrow(run, "root bigint, id bigint, n bigint, shingles binary")
+
+
+def similar_groups(members: DataFrame, part: int = PART) -> DataFrame:
+    """(node, root) of the components of all exact links within each group of `members` (root, id, n, shingles).
+
+    A group of more than `part` shingles is cut in parts. Each part is taken with the group's root, so copies of it become
+    one component at once; then what isn't in that component is compared with every part, so no link is left out.
     """
-    words = [f"f{k}" for k in range(WORDS)]
-    rows = kept(wide_fingerprints(docs.where("doc_id IS NOT NULL")), "fingerprints")
-    fps = kept(rows.groupBy(*words).agg(F.min("doc_id").alias("id")), "distinct")
-    tries, named = wide_tries(fps.count()), fps
-    for some in (tries[: len(tries) // 8], tries[len(tries) // 8 :]):
+    spark = members.sparkSession
+    group = ["root", "c0", "c1"]
+
+    def links(cells: DataFrame) -> DataFrame:
+        dealt = cells.select(*group, "id", "shingles").repartition(partitions(spark), *group).sortWithinPartitions(*group)
+        return dealt.mapInArrow(_confirm, "a bigint, b bigint")
+
+    many = members.groupBy("root").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).where("parts > 1")
+    many = kept(many, "parts")
+    if many.isEmpty():
+        return components(links(members.withColumns({"c0": F.lit(0), "c1": F.lit(0)})))
+    cut = members.join(many, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("c0", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = cut.where("id != root").unionByName(cut.where("id = root").withColumn("c0", every))
+    found = kept(links(cells.withColumn("c1", F.col("c0"))), "links")
+    star = components(found)
+    rest = members.join(many, "root").join(star.select(F.col("node").alias("id"), F.col("root").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    first = rest.where("id = root").select("root", F.col("own").alias("main"))
+    rest = rest.join(first, "root").withColumn("out", F.col("own") != F.col("main"))
+    outs = kept(rest.where("out").groupBy("root").agg(F.ceil(F.sum("n") / part).cast("int").alias("outs")), "outs")
+    if outs.isEmpty():
+        return star
+    rest = rest.join(outs, "root").withColumn("c", F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("parts"))).cast("int") + F.when(F.col("out"), F.col("parts")).otherwise(0))
+    rest = rest.withColumn("o", F.explode(F.sequence(F.when(F.col("out"), 0).otherwise(F.col("parts")), F.col("parts") + F.col("outs") - 1)))
+    more = links(rest.select("root", F.least("c", "o").alias("c0"), F.greatest("c", "o").alias("c1"), "id", "shingles"))
+    return components(found.unionByName(more))
+
+
+def _grouped(docs: DataFrame, radius: int, cap: int, part: int) -> DataFrame:
+    """(doc_id, key, root) of each row of `docs` with a doc_id; rows of one root are alike."""
+    bands = [f"m{k}" for k in range(BANDS)]
+    words = [*(f"f{k}" for k in range(WORDS)), *bands]
+    docs = docs.where("doc_id IS NOT NULL")
+    rows = kept(wide_fingerprints(docs), "fingerprints")
+    fps = kept(rows.groupBy("id", *words).agg(F.min(F.struct("doc_id", "key")).alias("row")), "distinct")
+    tries, named = wide_tries(fps.count()), fps.withColumn("own", F.col("id"))
+    for some in ([*bands, *tries[: len(tries) // 8]], tries[len(tries) // 8 :]):
         star = components(kept(wide_links(named, some, radius, cap).distinct(), "links"))
-        named = named.join(star, named["id"] == star["node"], "left").select(*words, F.coalesce("root", "id").alias("id"))
+        named = named.join(star, named["id"] == star["node"], "left").select("own", *words, "row", F.coalesce("root", "id").alias("id"))
         named = kept(named, "named")
-    named = named.withColumnRenamed("id", "component_id")
-    return rows.join(named, words).select("doc_id", "component_id")
+    many = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("root"))
+    members = named.join(many, named["id"] == many["root"]).select("root", F.col("own").alias("id"), "row.*")
+    star = similar_groups(kept(_shingled(members, docs), "shingles"), part)
+    star = star.select(F.col("node").alias("id"), "root")
+    return rows.select("doc_id", "key", "id").join(star, "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root"))
+
+
+def alike(docs: DataFrame, radius: int = WIDE_RADIUS, cap: int = CAP, part: int = PART) -> DataFrame:
+    """(doc_id, component_id): groups of texts linked by five-word shingle sets of a similarity of 0.8 or more.
+
+    Candidates are groups chained by distances of at most `radius` bits of a 256-bit SimHash, found by LSH: fingerprints that
+    share the blocks of one of several choices, or a band of MinHash values, meet in a bucket and are compared there (not by
+    the trie walk of `links`, so a pair is found with a probability only; the README has the measured recall). The bands and
+    an eighth of the choices go first; what they join counts as one in the others, so large groups of copies give few more edges. Within each group the shingle sets
+    themselves decide, and components are those of exact links alone. Texts without words are alike. Rows with a null doc_id
+    are left out. An empty table gives an empty result.
+    """
+    rows = kept(_grouped(docs, radius, cap, part), "grouped")
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "root").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """The rows of `docs` that name their group of similar texts: one document of each group stays, all columns kept.
 
-    Rows with a null doc_id stay, as they can't be told apart. Of rows that repeat a doc_id one stays.
+    Rows with a null doc_id stay, as they can't be told apart. Of rows that repeat a doc_id and its text one stays; those
+    with other texts are documents of their own.
     """
-    keep = kept(alike(docs, radius).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept")
-    ids = keep.select("kept_id").hint("merge")  # as many as documents: the same plan at every size
-    out = docs.join(ids, docs["doc_id"] == keep["kept_id"], "left_semi")
+    each = _grouped(docs, radius, CAP, PART).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n_rows"))
+    keep = kept(each.groupBy("root").agg(F.min(F.struct("doc_id", "key", "n_rows")).alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.key").alias("kept_key"), F.col("row.n_rows").alias("n_rows")), "kept")
+    ids = keep.select("kept_id", "kept_key").hint("merge")  # as many as documents: the same plan at every size
+    out = docs.join(ids, (docs["doc_id"] == keep["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == keep["kept_key"]), "left_semi")
     if not keep.where("n_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        out = out.dropDuplicates(["doc_id", "text"])
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 

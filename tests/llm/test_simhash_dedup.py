@@ -183,3 +183,61 @@ def test_spread_is_exact():
     got = classes(150, zip(i.tolist(), j.tolist()))
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
     assert len(i) == 150 - len(set(want))
+
+
+def linked(texts):
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similar(texts[i], texts[j]) >= 0.8]
+    return classes(len(texts), pairs)
+
+
+def test_similarity_decides_on_both_sides_of_the_threshold(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(60):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(204)]
+        texts += [" ".join(words), " ".join(words[: 160 + g % 9])]  # 0.78 to 0.82 of the shingles
+    have = [similar(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert min(have) < 0.8 <= max(have)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in S.alike(df).collect()}
+    want = linked(texts)
+    wrong = [i for i in range(len(texts)) for j in range(i) if got[i] == got[j] and want[i] != want[j]]
+    assert not wrong
+    missed = [i for i in range(len(texts)) for j in range(i) if got[i] != got[j] and want[i] == want[j]]
+    assert len(missed) <= 1
+
+
+def test_parts_of_a_group_lose_no_link(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    texts = []
+    for i in range(90):  # copies of three versions that are 0.6 to 0.75 alike
+        other = list(words)
+        for k in range(4 * (i % 3)):
+            other[k * 10 + 5] = f"v{i % 3}x{k}"
+        other[rng.randrange(120)] = f"w{i}"
+        texts.append(" ".join(other))
+    want = linked(texts)
+    sets = [S._shingle_set(vocabulary(), t.encode()) for t in texts]
+    rows = [(0, i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "root bigint, id bigint, n bigint, shingles binary")
+    for part in (1500, S.PART):
+        star = {r.node: r.root for r in S.similar_groups(members, part).collect()}
+        got = [star.get(i, i) for i in range(90)]
+        assert len(set(zip(want, got))) == len(set(want)) == len(set(got)) > 1
+    i, j = S.similar_links(sets)
+    assert len(set(zip(want, classes(90, zip(i.tolist(), j.tolist()))))) == len(set(want))
+
+
+def vocabulary():
+    from meshlake.llm.words import Vocabulary
+
+    return Vocabulary()
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, c), (2, b), (3, c)]
+    got = sorted((r.doc_id, r.text) for r in S.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted([(1, a), (1, b), (2, c)])
