@@ -1,9 +1,10 @@
 """License scans by MinHash bands over overlapping text windows.
 
 Templates fall in size classes. For templates of at most m words, windows of 2m words begin every m words, so any span of m
-words lies whole in one window. A window and a template meet if they agree in one of `BANDS` bands of one MinHash value.
-Where a template's shingles are contained to 0.8 in a window, their Jaccard similarity is at least 0.8 m / 2.2 m = 0.36, so
-a match is missed with a probability of at most 0.64 ** 48, or 5e-10. Exact shingle containment decides.
+words lies whole in one window. A window and a template meet if they agree in one of at least `BANDS` bands of one MinHash value. A class has
+as many bands as its shortest template needs, at the least Jaccard similarity J that a window containing it to 0.8 can have
+(`needed`), to be missed with a probability of at most `MISS`: (1 - J) ** bands <= 5e-10. Templates of one shingle are looked
+up exactly and never missed. Exact shingle containment decides.
 
 A window that shares no shingle with any template can't contain one; only windows that do are hashed.
 """
@@ -11,6 +12,7 @@ A window that shares no shingle with any template can't contain one; only window
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from . import words as W
 
 BANDS = 48
 CONTAINMENT = 0.8
+MISS = 5e-10
 
 # Wordings of public license notices.
 TEMPLATES = {
@@ -60,14 +63,19 @@ TEMPLATES = {
 }
 
 
+def needed(size: int, window: int, containment: float = CONTAINMENT) -> int:
+    """Bands by which a template of `size` shingles, contained in a window of at most `window`, is missed with `MISS` at most."""
+    shared = max(1, ceil(containment * size - 1e-9))
+    least = shared / (window + size - shared)
+    return 1 if least >= 1 else ceil(log(MISS) / log(1 - least))
+
+
 class Scanner:
     """Templates by size class, shingle length and MinHash value."""
 
     def __init__(self, templates: dict[str, str], bands: int = BANDS, containment: float = CONTAINMENT, seed: int = 3):
         vocabulary, rng = W.Vocabulary(), np.random.default_rng(seed)
-        self.bands, self.containment = bands, containment
-        self.factor = rng.integers(1, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shift = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
+        self.containment = containment
         self.classes: dict[tuple[int, int], dict] = {}
         for name, text in sorted(templates.items()):
             w = np.array(vocabulary.hashes(text.encode()), np.uint64)
@@ -75,18 +83,26 @@ class Scanner:
                 continue
             k = min(W.SHINGLE, len(w))
             m = 1 << max(2, int(len(w) - 1).bit_length())
-            own = self.classes.setdefault((k, m), {"names": [], "sets": [], "bands": [{} for _ in range(bands)]})
+            own = self.classes.setdefault((k, m), {"names": [], "sets": [], "single": {}})
             s = np.unique(W.shingles(w, k))
-            for band, v in zip(own["bands"], self.minima(s).tolist()):
-                band.setdefault(v, []).append(len(own["names"]))
+            if len(s) == 1:
+                own["single"].setdefault(int(s[0]), []).append(len(own["names"]))
             own["names"].append(name)
             own["sets"].append(s)
-        for own in self.classes.values():
+        most = {c: max([bands, *(needed(len(s), 2 * c[1] - c[0] + 1, containment) for s in own["sets"] if len(s) > 1)]) for c, own in self.classes.items()}
+        self.factor = rng.integers(1, 1 << 63, max(most.values(), default=0), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.shift = rng.integers(0, 1 << 63, len(self.factor), dtype=np.uint64)
+        for c, own in self.classes.items():
+            own["bands"] = [{} for _ in range(most[c] if any(len(s) > 1 for s in own["sets"]) else 0)]
+            for j, s in enumerate(own["sets"]):
+                if len(s) > 1:
+                    for band, v in zip(own["bands"], self.minima(s, most[c]).tolist()):
+                        band.setdefault(v, []).append(j)
             own["lookup"] = W.Lookup(np.concatenate(own["sets"]))
 
-    def minima(self, s: np.ndarray) -> np.ndarray:
+    def minima(self, s: np.ndarray, bands: int) -> np.ndarray:
         """One MinHash value a band."""
-        x = s[None, :] * self.factor[:, None] + self.shift[:, None]
+        x = s[None, :] * self.factor[:bands, None] + self.shift[:bands, None]
         x ^= x >> np.uint64(31)
         return (x * np.uint64(0x94D049BB133111EB)).min(axis=1)
 
@@ -110,7 +126,10 @@ class Scanner:
                     window = np.unique(h[s : min(s + 2 * m, int(starts[t + 1])) - k + 1])
                     if not len(window):
                         continue
-                    for j in sorted({j for band, v in zip(own["bands"], self.minima(window).tolist()) for j in band.get(v, ())}):
+                    met = {j for v in own["single"].keys() & window.tolist() for j in own["single"][v]}
+                    if own["bands"]:
+                        met |= {j for band, v in zip(own["bands"], self.minima(window, len(own["bands"])).tolist()) for j in band.get(v, ())}
+                    for j in sorted(met):
                         share = len(np.intersect1d(window, own["sets"][j], assume_unique=True)) / len(own["sets"][j])
                         key = first + t, own["names"][j]
                         if share >= self.containment and share > best.get(key, (0.0, 0))[0]:

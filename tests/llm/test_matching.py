@@ -131,3 +131,18 @@ def test_license_edges(corpus, clashing, empty):
     assert L.scanned(clashing).count() == L.scanned(corpus).count() == 0
     assert L.scanned(empty).count() == 0
     assert L.scanned(corpus, {"none": "", "dots": "x"}).count() == 1
+
+
+def test_short_notices_are_found_wherever_they_stand():
+    rng = random.Random(14)
+    short = {n: t for n, t in L.TEMPLATES.items() if len(t.split()) <= 12}
+    texts, want = [], set()
+    for d in range(1500):
+        words = prose(rng, rng.randrange(40, 80)).split()
+        name = sorted(short)[d % len(short)]
+        at = rng.randrange(len(words))
+        words[at:at] = short[name].split()
+        texts.append(" ".join(words).encode())
+        want.add((d, name))
+    got = {(t, name) for t, name, *_ in L.Scanner(short).scan(texts, W.Vocabulary())}
+    assert want <= got
