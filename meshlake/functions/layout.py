@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 from math import gcd, prod
@@ -40,47 +41,50 @@ def one_dim(size: int, parts: int, rank: int) -> tuple[int, int]:
     return base * place + max(0, place - plain), base + (place >= plain)
 
 
-def tile_of(rank: int, active: int, dims: Sequence[int], depth: int) -> list[tuple[int, int]]:
-    """Box of `rank` of `active`: dimensions down to `depth` are cut, outermost first, until all ranks have their share."""
-    box = [(0, n) for n in dims]
-    left, place = active, rank
-    for i in range(depth + 1):
-        n = dims[i]
-        if n >= left:
-            box[i] = one_dim(n, left, place)
-        elif n > 1:
-            box[i] = one_dim(n, n, rank * n // left)
-            left //= n
-            place = rank % left
-    return box
+def piece_of(at: Column, size: int, parts: int) -> tuple[Column, Column, Column]:
+    """(piece, place in it, its length) of an index column under the balanced split of `size` in `parts`: `one_dim` from the other side."""
+    base, over = divmod(size, parts)
+    plain = parts - over
+    late = at >= F.lit(base * plain)
+    past = at - F.lit(base * plain)
+    if not base:
+        return past, F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    piece = F.when(late, F.lit(plain) + F.floor(past / F.lit(base + 1))).otherwise(F.floor(at / F.lit(base)))
+    return piece.cast("bigint"), F.when(late, past % F.lit(base + 1)).otherwise(at % F.lit(base)), F.when(late, F.lit(base + 1)).otherwise(F.lit(base)).cast("bigint")
 
 
-def _depth(active: int, dims: Sequence[int], itemsize: int, most: int) -> int:
-    """The innermost dimension from which the inner extents, shared by all, pass `most` bytes; the last one if none does."""
-    return next((i for i in reversed(range(len(dims))) if itemsize * prod(dims[i:]) // active > most), len(dims) - 1)
+def cut_counts(parts: int, dims: Sequence[int], at: int) -> list[int] | None:
+    """Pieces by dimension of a tiling in `parts` boxes: single rows before dimension `at`, equal cuts of it, whole extents behind it; None if there is none."""
+    if parts == 1:
+        return [1] * len(dims)
+    pieces, rest = divmod(parts, prod(dims[:at]))
+    return None if rest or not 2 <= pieces <= dims[at] else [*dims[:at], pieces, *[1] * (len(dims) - at - 1)]
 
 
 def box_split(type_name: str | int, dims: Sequence[int], num_io: int, blocksize: int = BLOCKSIZE) -> list[list[tuple[int, int]]]:
     """Boxes (start, count by dimension) that tile the array, one for each active I/O rank; at most `num_io`.
 
-    Ranks are used as far as each gets about `blocksize` bytes. Fewer are taken where that many boxes can't tile the array.
+    As many ranks are wanted as get about `blocksize` bytes each. A number of ranks is tried at one dimension: the innermost
+    one whose slabs, dealt to so many ranks, are larger than what a rank should hold (the last dimension if none is), or the
+    one before it where that is too short for so many ranks. The largest number that tiles the array is taken.
     """
     require(bool(dims) and num_io > 0 and min(dims) > 0, Code.EINVAL, "box split")
-    size, total = grid_type(type_name).bytes, prod(dims)
-    wanted = int(np.float32(total) / np.float32(max(1, (blocksize - 256) // size)) + np.float32(0.5))
-    active = max(1, min(wanted, num_io))
-    most = max(blocksize, total * size // active) + 256
-    while active > 0:
-        depth = _depth(active, dims, size, most)
-        if dims[depth] < active:
-            if depth and dims[depth - 1] > active:
-                depth -= 1
-            else:
-                active -= active % dims[depth]
-        boxes = [tile_of(r, active, dims, depth) for r in range(active)]
-        if sum(prod(c for _, c in b) for b in boxes) == total:
-            return boxes
-        active -= 1
+    itemsize = grid_type(type_name).bytes
+    slab = [itemsize * prod(dims[i:]) for i in range(len(dims))]
+    per_block = max(1, (blocksize - 256) // itemsize)
+    wanted = min(num_io, max(1, int(np.float32(prod(dims)) / np.float32(per_block) + np.float32(0.5))))
+    full = max(blocksize, slab[0] // wanted) + 256
+    for ranks in range(wanted, 0, -1):
+        at = max((i for i, size in enumerate(slab) if size // ranks > full), default=len(dims) - 1)
+        short = dims[at] < ranks
+        if short and at and dims[at - 1] > ranks:
+            at, short = at - 1, False
+        while at and dims[at] == 1:
+            at -= 1
+        pieces = None if short and ranks % dims[at] else cut_counts(ranks, dims, at)
+        if pieces:
+            cuts = [[one_dim(n, p, i) for i in range(p)] for n, p in zip(dims, pieces)]
+            return [list(box) for box in itertools.product(*cuts)]
     raise GridError(Code.EINVAL, "no tiling")
 
 

@@ -1,42 +1,60 @@
 """Rearrangement: which I/O rank gets which element, and diagnostics of the traffic.
 
-Boxes are few (one for each I/O rank), so an element's box is a closed expression over its coordinates, without a join.
+Boxes of the balanced split form a grid, so an element's box is arithmetic over its coordinates, without a join.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 from math import prod
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Code, require
-from ..functions.layout import box_split, coordinates, one_dim, regions
+from ..functions.layout import box_split, coordinates, one_dim, piece_of, regions
 from ..session import BOX, GridSession
 from .decomposition import Decomposition
 
 Box = list[tuple[int, int]]
 
 
-def _inside(coords: Sequence[Column], box: Box) -> Column:
-    return reduce(lambda a, b: a & b, ((c >= s) & (c < s + n) for c, (s, n) in zip(coords, box)))
+def _grid(boxes: Sequence[Box], dims: Sequence[int]) -> list[int] | None:
+    """Pieces by dimension if `boxes` are the row-major product of balanced splits of `dims`, else None."""
+    pieces = [len({b[d] for b in boxes}) for d in range(len(dims))]
+    if prod(pieces) != len(boxes):
+        return None
+    cuts = [[one_dim(n, p, i) for i in range(p)] for n, p in zip(dims, pieces)]
+    return pieces if all(tuple(map(tuple, b)) == c for b, c in zip(boxes, itertools.product(*cuts))) else None
 
 
 def assign_boxes(df: DataFrame, dims: Sequence[int], boxes: Sequence[Box], goff: str = "goff") -> DataFrame:
-    """`df` with io (the first box that holds the element; null for a hole) and ioff (row-major place in that box)."""
+    """`df` with io (the first box that holds the element; null for a hole) and ioff (row-major place in that box).
+
+    Boxes that are a grid of balanced splits, as `box_split` makes them, are found by arithmetic, however many they are.
+    Others are joined by their bounds; they are one row for each I/O rank.
+    """
     require(bool(boxes), Code.EINVAL, "no boxes")
     coords = coordinates(F.col(goff), dims)
-    io, place = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-    for rank, box in reversed(list(enumerate(boxes))):
-        here = _inside(coords, box)
-        local = F.lit(0).cast("bigint")
-        for c, (s, n) in zip(coords, box):
-            local = local * n + (c - s)
-        io, place = F.when(here, rank).otherwise(io), F.when(here, local).otherwise(place)
-    return df.withColumn("io", io).withColumn("ioff", place)
+    pieces = _grid(boxes, dims)
+    if pieces is not None:
+        io, place = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+        for c, n, p in zip(coords, dims, pieces):
+            piece, at, length = piece_of(c, n, p)
+            io, place = io * F.lit(p) + piece, place * length + at
+        inside = F.col(goff).between(0, prod(dims) - 1)
+        return df.withColumns({"io": F.when(inside, io).cast("int"), "ioff": F.when(inside, place)})
+    rows = [(rank, [s for s, _ in b], [n for _, n in b]) for rank, b in enumerate(boxes)]
+    table = df.sparkSession.createDataFrame(rows, "__io int, __s array<bigint>, __n array<bigint>")
+    inside = reduce(lambda a, b: a & b, ((c >= F.col("__s")[i]) & (c < F.col("__s")[i] + F.col("__n")[i]) for i, c in enumerate(coords)))
+    local = reduce(lambda at, x: at * F.col("__n")[x[0]] + (x[1] - F.col("__s")[x[0]]), enumerate(coords), F.lit(0).cast("bigint"))
+    met = df.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(table), inside, "left").withColumn("__at", local)
+    first = F.min(F.struct("__io", "__at"))
+    found = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in df.columns], first.alias("__hit"))
+    return found.select(*df.columns, F.col("__hit.__io").alias("io"), F.col("__hit.__at").alias("ioff"))
 
 
 def assign_subsets(df: DataFrame, num_compute: int, num_io: int, task: str = "task") -> DataFrame:
@@ -84,11 +102,7 @@ def hole_grid(df: DataFrame, size: int, num_io: int | None = None, goff: str = "
     holes = spark.range(size).select(F.col("id").alias("goff")).join(df.select(F.col(goff).alias("goff")), "goff", "left_anti")
     if num_io is None:
         return holes
-    io = F.lit(None).cast("int")
-    for rank in reversed(range(num_io)):
-        start, count = one_dim(size, num_io, rank)
-        io = F.when(F.col("goff").between(start, start + count - 1), rank).otherwise(io)
-    return holes.withColumn("io", io)
+    return holes.withColumn("io", piece_of(F.col("goff"), size, num_io)[0].cast("int"))
 
 
 def runs_1d(df: DataFrame, by: Sequence[str] = (), goff: str = "goff") -> DataFrame:

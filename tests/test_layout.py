@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from meshlake.errors import Code, GridError, strerror
-from meshlake.functions.layout import box_split, gcd_block, io_ranks, one_dim, regions
+from meshlake.functions.layout import box_split, gcd_block, io_ranks, one_dim, piece_of, regions
 from meshlake.functions.quantize import keep_bits
+from meshlake.operators.rearrange import assign_boxes
 
 
 @pytest.mark.parametrize(
@@ -101,3 +102,28 @@ def test_keep_bits():
         assert y[3] == 0
         assert np.isinf(y[4])
     assert (keep_bits(x[:3], 52, "groom") == x[:3]).all()
+
+
+@given(st.integers(1, 60), st.integers(1, 9))
+@settings(max_examples=5, deadline=None)
+def test_piece_of_is_one_dim_from_the_other_side(spark, size, parts):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(size).select("id", *[c.alias(n) for c, n in zip(piece_of(F.col("id"), size, parts), ("piece", "at", "length"))]).collect()
+    want = [(p, i, n) for p in range(parts) for s, n in [one_dim(size, parts, p)] for i in range(n)]
+    assert [(r.piece, r.at, r.length) for r in rows] == want
+
+
+def test_boxes_by_arithmetic_and_by_bounds(spark):
+    dims = [4, 5, 6]
+    odd = [[(0, 1), (0, 5), (0, 6)], [(1, 3), (0, 2), (0, 6)], [(1, 3), (2, 3), (0, 6)]]
+    for boxes in (box_split("double", dims, 4, 264), odd, odd[:2]):
+        want = {}
+        cells = np.arange(prod(dims)).reshape(dims)
+        for io, box in reversed(list(enumerate(boxes))):
+            inner = cells[tuple(slice(s, s + c) for s, c in box)].ravel().tolist()
+            want |= {g: (io, k) for k, g in enumerate(inner)}
+        df = spark.range(prod(dims)).select("id").withColumnRenamed("id", "goff").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+        got = {r.goff: (r.io, r.ioff) for r in assign_boxes(df, dims, boxes).collect()}
+        assert got.pop(None) == (None, None)
+        assert got == {g: want.get(g, (None, None)) for g in range(prod(dims))}
