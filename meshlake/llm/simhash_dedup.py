@@ -1,25 +1,27 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints within `radius` differing bits agree in at least `m - radius` of any `m` blocks of their bits. So each choice
-of that many blocks is one trie whose top levels hold those blocks: below a top node, and only there, node pairs are
-walked together, differing bits add up, and a pair is left as soon as they pass the radius. The tries' subtrees are
-independent, so they are dealt over the cluster by (choice of blocks, value of those blocks). Each subtree returns a
-spanning forest of its links (at most one edge a fingerprint), never all pairs, and components join the forests.
-
-Only distinct fingerprints are joined. A subtree of more than `cap` fingerprints is cut in chunks, and every pair of
-chunks is one piece of work, so memory is bounded and no link is lost.
+Fingerprints are leaves of a binary trie. Node pairs are walked together from the root, level by level: a pair's differing
+bits add up, and it is left as soon as they pass what its depth allows (`walk`). Leaf pairs of a few fingerprints are compared.
+
+To let the budget bite near the root, the bits are turned so that one of three blocks comes first. Two fingerprints at most
+`radius` bits apart differ in at most b bits of some block, if the blocks' b + 1 add up to radius + 1 (1, 1 and 0 bits for a
+radius of 4). So each of three tries allows b errors in its first block and `radius` below it, and together they miss nothing.
+
+Node pairs at a first cut are dealt over the cluster, each fingerprint to those of its node; a pair that holds more than
+`cap` is cut eight levels deeper, and so on, so memory is bounded and no link is lost. Each task returns a spanning forest of
+its links, never all pairs, and components join the forests. Only distinct fingerprints are joined.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from math import ceil, comb
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import kept, partitions
@@ -28,12 +30,16 @@ from .components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Most fingerprints of a subtree that one task takes at once; larger ones are cut in chunks.
+#: Most fingerprints of a node pair that one task takes at once; larger pairs are cut deeper.
 CAP = 20_000
-#: Mean size of a subtree above which more blocks are used.
+#: Fingerprints below a node of the first cut, on average, at most.
 SUBTREE = 2048
-#: Node pairs with no more products than this are compared directly.
-LEAF = 8192
+#: Levels by which a large node pair is cut deeper.
+DEEPER = 8
+#: Node pairs with no more products than this are leaves, compared directly.
+LEAF = 16
+#: Node pairs that are walked at once.
+FRONT = 1 << 17
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -94,117 +100,188 @@ class Forest:
             self.parent[a] = b  # of several writers one wins; the others stay apart and come again
 
 
-def trie_links(fp: np.ndarray, radius: int, top: int = 0) -> Forest:
-    """Components of the links at `radius` or fewer bits in sorted distinct `fp` (uint64) that share their first `top` bits."""
-    forest = Forest(len(fp))
-    stack = [(0, len(fp), 0, len(fp), top, 0)]
-    while stack:
-        a, b, c, d, depth, err = stack.pop()
-        same = a == c
-        if a == b or c == d or (same and b - a < 2):
-            continue
-        if (b - a) * (d - c) <= LEAF or depth == 64:
-            near = np.bitwise_count(fp[a:b, None] ^ fp[None, c:d]) <= radius
-            i, j = np.nonzero(near)
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                forest.link(i + a, j + c)
-            continue
-        bit = np.uint64(1) << np.uint64(63 - depth)
-        high = ~((bit << np.uint64(1)) - np.uint64(1)) if depth else np.uint64(0)
-        ab = a + int(np.searchsorted(fp[a:b], (fp[a] & high) | bit))
-        cd = ab if same else c + int(np.searchsorted(fp[c:d], (fp[c] & high) | bit))
-        stack += [(a, ab, c, cd, depth + 1, err), (ab, b, cd, d, depth + 1, err)]
-        if err < radius:
-            stack.append((a, ab, cd, d, depth + 1, err + 1))
-            if not same:
-                stack.append((ab, b, c, cd, depth + 1, err + 1))
-    return forest
-
-
-def layouts(n: int, radius: int, subtree: int = SUBTREE) -> list[list[tuple[int, int]]]:
-    """For each trie, the (low bit, width) of the blocks at its top; more blocks for more fingerprints."""
-    m = radius + 1
-    while m < 16 and n / 2 ** ((m - radius) * 64 // m) > subtree and comb(m + 1, radius) <= 200:
-        m += 1
+class Walk:
+    """Tries over `fp` (n x words, sorted within each trie) and the links that walking their node pairs finds.
+
+    `allow` (kind of trie x depth): how many bits two nodes at a depth may differ in. A node pair is (a, b, c, d, err, kind):
+    rows a to b against rows c to d, with `err` bits that differ above.
+    """
+
+    def __init__(self, fp: np.ndarray, allow: np.ndarray):
+        self.fp, self.allow, self.bits, self.radius = fp, allow, 64 * fp.shape[1], int(allow[0, -1])
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.visited = self.pruned = 0
+
+    def _leaves(self, f: np.ndarray) -> None:
+        n = (f[:, 1] - f[:, 0]) * (f[:, 3] - f[:, 2])
+        of = np.repeat(np.arange(len(f)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        wide = (f[:, 3] - f[:, 2])[of]
+        i, j = f[of, 0] + k // wide, f[of, 2] + k % wide
+        i, j = i[i != j], j[i != j]
+        near = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int64) <= self.radius
+        if near.any():
+            self.pairs.append((i[near], j[near]))
+
+    def run(self, roots: np.ndarray, depth: int = 0) -> Walk:
+        """Walk from `roots` (k x 6), which stand at `depth`."""
+        stack = [(depth, roots)]
+        while stack:
+            depth, f = stack.pop()
+            if len(f) > FRONT:
+                stack += [(depth, f[FRONT:]), (depth, f[:FRONT])]
+                continue
+            self.visited += len(f)
+            leaf = ((f[:, 1] - f[:, 0]) * (f[:, 3] - f[:, 2]) <= LEAF) | (depth == self.bits)
+            self._leaves(f[leaf])
+            f = f[~leaf]
+            if not len(f):
+                continue
+            a, b, c, d, err, kind = f.T
+            low, high = int(f[:, [0, 2]].min()), int(f[:, [1, 3]].max())
+            ones = np.zeros(high - low + 1, np.int64)
+            np.cumsum((self.fp[low:high, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1), out=ones[1:])
+            x, y = b - ones[b - low] + ones[a - low], d - ones[d - low] + ones[c - low]  # where the bit turns to one
+            same = a == c
+            below = [(a, x, c, y, err, kind), (x, b, y, d, err, kind), (a, x, y, d, err + 1, kind)]
+            below = np.concatenate([np.stack(p, axis=1) for p in below] + [np.stack((x, b, c, y, err + 1, kind), axis=1)[~same]])
+            n, m = below[:, 1] - below[:, 0], below[:, 3] - below[:, 2]
+            below = below[(n > 0) & (m > 0) & ((below[:, 0] != below[:, 2]) | (n > 1))]
+            ok = below[:, 4] <= self.allow[below[:, 5], depth + 1]
+            self.pruned += int((~ok).sum())
+            if ok.any():
+                stack.append((depth + 1, below[ok]))
+        return self
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """(i, root) of the rows that a link joins to an earlier row."""
+        found = Forest(len(self.fp))
+        for i, j in self.pairs:
+            found.link(i, j)
+        root = found.find(np.arange(len(self.fp)))
+        moved = np.nonzero(root != np.arange(len(self.fp)))[0]
+        return moved, root[moved]
+
+
+def tries(radius: int) -> list[tuple[int, int, int]]:
+    """(left turn, bits, errors allowed) of each trie's first block."""
+    m = min(3, radius + 1)
     edge = [round(i * 64 / m) for i in range(m + 1)]
-    blocks = [(edge[i], edge[i + 1] - edge[i]) for i in range(m)]
-    return [list(c) for c in itertools.combinations(blocks, m - radius)]
-
-
-def _arranged(fp: np.ndarray, blocks: list[tuple[int, int]]) -> tuple[np.ndarray, int]:
-    """`fp` with the bits of `blocks` moved to the top, and how many they are."""
-    rest, at = [], 0
-    for low, width in [*sorted(blocks), (64, 0)]:
-        if low > at:
-            rest.append((at, low - at))
-        at = low + width
-    out, pos = np.zeros_like(fp), 64
-    for low, width in [*blocks, *rest]:
-        pos -= width
-        mask = np.uint64((1 << width) - 1)
-        out |= ((fp >> np.uint64(low)) & mask) << np.uint64(pos)
-    return out, sum(w for _, w in blocks)
-
-
-def _subtrees(tries: list[list[tuple[int, int]]], radius: int):
-    """Rows sorted by (trie, top, c0, c1) to the edges of each group's forest."""
-
-    def edges(trie: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp = np.unique(fp)
-        key, top = _arranged(fp, tries[trie])
-        order = np.argsort(key)
-        root = trie_links(key[order], radius, top).find(np.arange(len(fp)))
-        moved = np.nonzero(root != np.arange(len(fp)))[0]
-        return fp[order][moved], fp[order][root[moved]]
+    return [(edge[i], edge[i + 1] - edge[i], (radius + 1) // m - 1 + (i < (radius + 1) % m)) for i in range(m)]
+
+
+def allowed(radius: int) -> np.ndarray:
+    """Errors allowed by trie and depth."""
+    return np.array([[errors if depth <= bits else radius for depth in range(65)] for _, bits, errors in tries(radius)])
+
+
+def first_cut(n: int, radius: int) -> int:
+    """Depth of the first cut for `n` fingerprints, within the shortest first block."""
+    return min(max(0, ceil(log2(max(1, n) / SUBTREE))), min(bits for _, bits, _ in tries(radius)) - 1)
+
+
+def _turned(fp: Column, by: int) -> Column:
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
+
+
+def _top(turned: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(turned, 64 - depth) if depth else F.lit(0).cast("bigint")
+
+
+def _masks(bits: int, most: int) -> list[int]:
+    return [sum(1 << i for i in c) for k in range(min(bits, most) + 1) for c in itertools.combinations(range(bits), k)]
+
+
+def _node_pair(own: Column, other: Column, **rest: Column) -> Column:
+    return F.struct(*[c.alias(k) for k, c in rest.items()], F.least(own, other).alias("p"), F.greatest(own, other).alias("q"))
+
+
+def _walk_cells(radius: int):
+    """Rows sorted by (depth, trie, p, q) to the edges of each node pair's forest."""
+    allow, turns = allowed(radius), [turn for turn, _, _ in tries(radius)]
+
+    def edges(held: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        depth, trie, p, q, turned = held
+        size = np.diff(start)
+        cell = np.repeat(np.arange(len(size)), size)
+        for level in np.unique(depth[start[:-1]]).tolist():
+            rows = np.nonzero(depth == level)[0]
+            fp = turned[rows].view(np.uint64)
+            order = np.lexsort((fp, cell[rows]))
+            rows, fp = rows[order], fp[order]
+            begin = np.nonzero(np.diff(cell[rows], prepend=-1))[0]
+            end = np.append(begin[1:], len(rows))
+            own = p[rows[begin]] == q[rows[begin]]
+            node = fp >> np.uint64(64 - level) if level else np.zeros_like(fp)
+            first = np.append(0, np.cumsum(node == node[np.repeat(begin, end - begin)]))
+            half = begin + first[end] - first[begin]  # rows of the cell's lesser node come first
+            err = np.bitwise_count((p[rows[begin]] ^ q[rows[begin]]).view(np.uint64)).astype(np.int64)
+            kind = trie[rows[begin]]
+            roots = np.stack([begin, np.where(own, end, half), np.where(own, begin, half), end, err, kind], axis=1)
+            roots = roots[(roots[:, 3] > roots[:, 2]) & (~own | (end - begin > 1))]
+            if len(roots):
+                i, j = Walk(fp[:, None], allow).run(roots, level).forest()
+                for t, turn in enumerate(turns):
+                    mine = trie[rows[i]] == t
+                    a, b = fp[i[mine]], fp[j[mine]]
+                    back = (np.uint64(64 - turn), np.uint64(turn))
+                    yield tuple((x << back[0]) | (x >> back[1]) if turn else x for x in (a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
-        for last, batch in itertools.chain(((False, b) for b in batches), [(True, None)]):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(5)])], axis=1)
-            if not held.shape[1]:
-                continue
-            cut = np.nonzero((held[:4, 1:] != held[:4, :-1]).any(axis=0))[0] + 1
-            start = [0, *cut.tolist(), *([held.shape[1]] if last else [])]
-            a, b = [], []
-            for i, j in itertools.pairwise(start):
-                if j - i > 1:
-                    x, y = edges(int(held[0, i]), held[4, i:j].view(np.uint64))
-                    if len(x):
-                        a.append(x)
-                        b.append(y)
-            held = held[:, start[-1] :]
-            if a:
-                yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+        for held, start in _cells(batches, 5, 4):
+            for a, b in edges(held, start):
+                if len(a):
+                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return run
 
 
+def _cells(batches: Iterator[pa.RecordBatch], columns: int, keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of whole cells of sorted rows: (columns x rows, where each cell begins and the last ends)."""
+    held = np.zeros((columns, 0), np.int64)
+    for last, batch in itertools.chain(((False, b) for b in batches), [(True, None)]):
+        if batch is not None:
+            held = np.concatenate([held, np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(columns)])], axis=1)
+        if not held.shape[1]:
+            continue
+        cut = np.nonzero((held[:keys, 1:] != held[:keys, :-1]).any(axis=0))[0] + 1
+        start = np.array([0, *cut.tolist(), *([held.shape[1]] if last else [])])
+        if len(start) > 1:
+            yield np.ascontiguousarray(held[:, : start[-1]]), start
+        held = held[:, start[-1] :]
+
+
 def links(fps: DataFrame, n: int, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """Edges (a, b) whose components are those of all links among the distinct `fps` (fp: bigint); `n`: how many they are."""
-    tries = layouts(n, radius)
-
-    def top(blocks: list[tuple[int, int]]):
-        out = F.lit(0).cast("bigint")
-        for low, width in blocks:
-            part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col("fp")
-            out = F.shiftleft(out, width).bitwiseOR(part)
-        return out
-
-    keys = fps.select("fp", F.posexplode(F.array(*[top(t) for t in tries])).alias("trie", "top"))
-    big = keys.groupBy("trie", "top").count().where(F.col("count") > cap).select("trie", "top", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
-    big = kept(big, "subtrees")
-    if big.isEmpty():
-        cells = keys.select("trie", "top", F.lit(0).alias("c0"), F.lit(0).alias("c1"), "fp")
-    else:
-        cut = keys.join(big, ["trie", "top"], "left").withColumn("c", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-        cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        cells = cut.select("trie", "top", F.least("c", "o").alias("c0"), F.greatest("c", "o").alias("c1"), "fp")
-    group = ["trie", "top", "c0", "c1"]
-    dealt = cells.repartition(partitions(fps.sparkSession), *group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(_subtrees(tries, radius), "a bigint, b bigint")
+    depth, pairs = first_cut(n, radius), []
+    for t, (turn, _, errors) in enumerate(tries(radius)):
+        turned = _turned(F.col("fp"), turn)
+        own = _top(turned, depth)
+        pairs += [_node_pair(own, own.bitwiseXOR(F.lit(m)), trie=F.lit(t), turned=turned) for m in _masks(depth, errors)]
+    rows = fps.select(F.explode(F.array(*pairs)).alias("x")).select("x.trie", "x.p", "x.q", "x.turned")
+    done = None
+    while True:
+        rows = rows.withColumn("depth", F.lit(depth))
+        big = kept(rows.groupBy("trie", "p", "q").count().where(F.col("count") > cap).drop("count"), "heavy")
+        last = depth == 64 or big.isEmpty()
+        light = rows if last else rows.join(big, ["trie", "p", "q"], "left_anti")
+        light = light.select("depth", "trie", "p", "q", "turned")
+        done = light if done is None else done.unionByName(light)
+        if last:
+            break
+        deeper = min(DEEPER, 64 - depth)
+        heavy = rows.join(big, ["trie", "p", "q"]).withColumn("err", F.bit_count(F.col("p").bitwiseXOR(F.col("q"))))
+        errors = F.element_at(F.array(*[F.lit(int(x)) for x in allowed(radius)[:, depth + deeper]]), F.col("trie") + 1)
+        masks = F.filter(F.array(*[F.lit(m) for m in _masks(deeper, radius)]), lambda m: F.bit_count(m) + F.col("err") <= errors)
+        own = _top(F.col("turned"), depth + deeper)
+        over = F.col("p").bitwiseXOR(F.col("q")).bitwiseXOR(_top(F.col("turned"), depth))
+        inner = own.bitwiseAND(F.lit((1 << deeper) - 1))
+        below = F.transform(masks, lambda m: _node_pair(own, F.shiftleft(over, deeper).bitwiseOR(inner.bitwiseXOR(m))))
+        rows = kept(heavy.select("trie", "turned", F.explode(below).alias("x")).select("trie", "x.p", "x.q", "turned"), "deeper")
+        depth += deeper
+    group = ["depth", "trie", "p", "q"]
+    dealt = done.repartition(partitions(fps.sparkSession), *group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(_walk_cells(radius), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
@@ -222,15 +299,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of wide fingerprints: 64-bit words, bits up to which a pair is a candidate, block width.
+#: Of wide fingerprints: 64-bit words, and bits up to which a pair is a candidate.
 WORDS = 4
 WIDE_RADIUS = 60
-BLOCK_BITS = 8
-#: Bands of two MinHash values that complement the blocks: a pair of similarity 0.8 shares none with a probability of 0.36 ** 8.
-BANDS = 8
+#: Tries of wide fingerprints, each below one key of two MinHash values: a pair of similarity 0.8 shares none with a probability of 0.36 ** 12.
+BANDS = 12
 _FACTOR, _SHIFT = np.random.default_rng(17).integers(0, 1 << 63, (2, 2 * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Groups up to this size are compared together, by offsets.
-SMALL = 32
 
 
 def wide_fingerprint(shingle_hashes: np.ndarray) -> np.ndarray:
@@ -293,105 +367,38 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in ["doc_id", "key", "id", *names]))
 
 
-def wide_tries(n: int) -> list[tuple[int, ...]]:
-    """For each trie the blocks at its top: two 8-bit blocks, or three where `n` fingerprints would crowd them.
-
-    At similarity 0.8 a block is equal with a probability of about 0.27, so of the 64 pairs of blocks about 4.7 are, and of
-    the 320 triples about 6.4.
-    """
-    m = 64 * WORDS // BLOCK_BITS
-    if n <= 1 << 28:
-        return [(i, (i + d) % m) for d in (1, 5) for i in range(m)]
-    return [(i, (i + d) % m, (i + e) % m) for d, e in ((1, 5), (2, 9), (3, 10), (1, 12), (4, 15), (6, 13), (2, 11), (5, 14), (3, 8), (7, 16)) for i in range(m)]
-
-
-def spread(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) edges of a spanning forest of the links among rows of `fp` (n x words): each row taken looks at the rows not yet taken."""
-    left, edges = np.arange(len(fp)), []
-    while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            some, front = front[:64], front[64:]
-            near = np.bitwise_count(fp[some, None, :] ^ fp[None, left, :]).sum(axis=2, dtype=np.int64) <= radius
-            hit = near.any(axis=0)
-            if hit.any():
-                edges.append((some[near[:, hit].argmax(axis=0)], left[hit]))
-                front, left = np.concatenate([front, left[hit]]), left[~hit]
-    return tuple(np.concatenate(x) for x in zip(*edges)) if edges else (left, left)
-
-
-def _groups(radius: int):
-    """Rows sorted by (trie, top, c0, c1), then id and words, to edges whose components are those of the links in each group."""
-
-    def edges(held: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.diff(start)
-        group = np.repeat(np.arange(len(size)), size)
-        fp, ids = np.ascontiguousarray(held[5:, : start[-1]].T).view(np.uint64), held[4, : start[-1]]
-        a, b = [], []
-        rows = np.nonzero((size <= SMALL)[group])[0]
-        for d in range(1, SMALL):
-            rows = rows[rows + d < len(group)]
-            rows = rows[group[rows] == group[rows + d]]
-            if not len(rows):
-                break
-            near = rows[np.bitwise_count(fp[rows] ^ fp[rows + d]).sum(axis=1, dtype=np.int64) <= radius]
-            a.append(ids[near])
-            b.append(ids[near + d])
-        for g in np.nonzero(size > SMALL)[0].tolist():
-            i, j = spread(fp[start[g] : start[g + 1]], radius)
-            a.append(ids[start[g] + i])
-            b.append(ids[start[g] + j])
-        if not a:
-            return ids[:0], ids[:0]
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pairs[:, 0], pairs[:, 1]
+def _walk_bands(radius: int):
+    """Rows sorted by (band, top, c0, c1), then id and words, to the edges of each cell's forest."""
+    allow = np.full((1, 64 * WORDS + 1), radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5 + WORDS, 0), np.int64)
-        for last, batch in itertools.chain(((False, b) for b in batches), [(True, None)]):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(5 + WORDS)])], axis=1)
-            if not held.shape[1]:
-                continue
-            cut = np.nonzero((held[:4, 1:] != held[:4, :-1]).any(axis=0))[0] + 1
-            start = np.array([0, *cut.tolist(), *([held.shape[1]] if last else [])])
-            a, b = edges(held, start)
-            held = held[:, start[-1] :]
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        for held, start in _cells(batches, 5 + WORDS, 4):
+            fp, cell = held[5:].view(np.uint64), np.repeat(np.arange(len(start) - 1), np.diff(start))
+            order = np.lexsort((*fp[::-1], cell))
+            ends = np.stack([start[:-1], start[1:]] * 2 + [np.zeros(len(start) - 1, np.int64)] * 2, axis=1)
+            i, j = Walk(np.ascontiguousarray(fp[:, order].T), allow).run(ends[np.diff(start) > 1]).forest()
+            if len(i):
+                ids = held[4][order]
+                yield pa.record_batch([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
     return run
 
 
-def wide_links(fps: DataFrame, tries: list[tuple[int, ...] | str], radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
-    """Edges (a, b) between ids of `fps` (id, f0, ...) that differ and have rows within `radius` bits that share a top of `tries`: blocks, or a column."""
-
-    def block(i: int):
-        word, at = divmod(i * BLOCK_BITS, 64)
-        return F.shiftrightunsigned(f"f{word}", at).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-
-    def top(blocks: tuple[int, ...] | str):
-        if isinstance(blocks, str):
-            return F.col(blocks)
-        out = F.lit(0).cast("bigint")
-        for i in blocks:
-            out = F.shiftleft(out, BLOCK_BITS).bitwiseOR(block(i))
-        return out
-
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
+    """Edges (a, b) whose components are those of the pairs within `radius` bits that share a band, among `fps` (id, f0, ..., m0, ...)."""
     words = [f"f{k}" for k in range(WORDS)]
-    keys = fps.select("id", *words, F.posexplode(F.array(*[top(t) for t in tries])).alias("trie", "top"))
-    big = keys.groupBy("trie", "top").count().where(F.col("count") > cap).select("trie", "top", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
-    big = kept(big, "subtrees")
+    keys = fps.select("id", *words, F.posexplode(F.array(*[f"m{k}" for k in range(BANDS)])).alias("band", "top"))
+    big = keys.groupBy("band", "top").count().where(F.col("count") > cap).select("band", "top", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
+    big = kept(big, "heavy")
     if big.isEmpty():
-        cells = keys.select("trie", "top", F.lit(0).alias("c0"), F.lit(0).alias("c1"), "id", *words)
+        cells = keys.select("band", "top", F.lit(0).alias("c0"), F.lit(0).alias("c1"), "id", *words)
     else:
-        cut = keys.join(big, ["trie", "top"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        cut = keys.join(big, ["band", "top"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         cut = cut.withColumn("c", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cells = cut.select("trie", "top", F.least("c", "o").alias("c0"), F.greatest("c", "o").alias("c1"), "id", *words)
-    group = ["trie", "top", "c0", "c1"]
+        cells = cut.select("band", "top", F.least("c", "o").alias("c0"), F.greatest("c", "o").alias("c1"), "id", *words)
+    group = ["band", "top", "c0", "c1"]
     dealt = cells.repartition(partitions(fps.sparkSession), *group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(_groups(radius), "a bigint, b bigint")
+    return dealt.mapInArrow(_walk_bands(radius), "a bigint, b bigint")
 
 
 #: Similarity of shingle sets from which texts are linked, as a fraction of whole numbers.
@@ -501,11 +508,8 @@ def _grouped(docs: DataFrame, radius: int, cap: int, part: int) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     rows = kept(wide_fingerprints(docs), "fingerprints")
     fps = kept(rows.groupBy("id", *words).agg(F.min(F.struct("doc_id", "key")).alias("row")), "distinct")
-    tries, named = wide_tries(fps.count()), fps.withColumn("own", F.col("id"))
-    for some in ([*bands, *tries[: len(tries) // 8]], tries[len(tries) // 8 :]):
-        star = components(kept(wide_links(named, some, radius, cap).distinct(), "links"))
-        named = named.join(star, named["id"] == star["node"], "left").select("own", *words, "row", F.coalesce("root", "id").alias("id"))
-        named = kept(named, "named")
+    star = components(kept(wide_links(fps, radius, cap).distinct(), "links"))
+    named = kept(fps.withColumn("own", F.col("id")).join(star, F.col("id") == F.col("node"), "left").select("own", "row", F.coalesce("root", "id").alias("id")), "named")
     many = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("root"))
     members = named.join(many, named["id"] == many["root"]).select("root", F.col("own").alias("id"), "row.*")
     star = similar_groups(kept(_shingled(members, docs), "shingles"), part)
@@ -516,12 +520,13 @@ def _grouped(docs: DataFrame, radius: int, cap: int, part: int) -> DataFrame:
 def alike(docs: DataFrame, radius: int = WIDE_RADIUS, cap: int = CAP, part: int = PART) -> DataFrame:
     """(doc_id, component_id): groups of texts linked by five-word shingle sets of a similarity of 0.8 or more.
 
-    Candidates are groups chained by distances of at most `radius` bits of a 256-bit SimHash, found by LSH: fingerprints that
-    share the blocks of one of several choices, or a band of MinHash values, meet in a bucket and are compared there (not by
-    the trie walk of `links`, so a pair is found with a probability only; the README has the measured recall). The bands and
-    an eighth of the choices go first; what they join counts as one in the others, so large groups of copies give few more edges. Within each group the shingle sets
-    themselves decide, and components are those of exact links alone. Texts without words are alike. Rows with a null doc_id
-    are left out. An empty table gives an empty result.
+    Candidates are groups chained by pairs at most `radius` bits apart in a 256-bit SimHash. At similarity 0.8 about 39 bits
+    differ, too many for a first cut by fingerprint bits that misses little, so a trie's top is a band of two MinHash values
+    and the SimHash trie is walked below it. A pair of similarity 0.8 shares one of the 12 bands with a probability of
+    1 - 5e-6, and is within the radius in about 1 - 1e-4 of cases (tests and the README have measured recall). Within each
+    group the shingle sets themselves decide, and components are those of exact links alone. Texts without words are alike.
+    Rows with a null doc_id are left out. Rows that repeat a doc_id are documents of their own if their texts differ. Whole
+    texts are hashed, however long. Other columns are ignored. An empty table gives an empty result.
     """
     rows = kept(_grouped(docs, radius, cap, part), "grouped")
     named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))

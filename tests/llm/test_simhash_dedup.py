@@ -65,8 +65,9 @@ def test_brute_force(corpus, clashing, empty):
     assert result(empty) == []
 
 
-@pytest.mark.parametrize("cap", [3, 20_000])
-def test_links_in_chunks(spark, cap):
+@pytest.mark.parametrize(("cap", "subtree"), [(3, 2048), (20_000, 2048), (20, 8), (3, 1)])
+def test_links_at_any_cut(spark, cap, subtree, monkeypatch):
+    monkeypatch.setattr(S, "SUBTREE", subtree)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     prints = [base]
@@ -84,22 +85,63 @@ def test_links_in_chunks(spark, cap):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
-def test_layouts_cover_every_distance():
+def test_tries_cover_every_distance():
     rng = random.Random(1)
-    for n in (100, 1 << 27, 1 << 33):
-        tries = S.layouts(n, 4)
+    for radius in range(9):
+        tries = S.tries(radius)
+        assert sum(bits for _, bits, _ in tries) == 64 and sum(errors + 1 for _, _, errors in tries) == radius + 1
         for _ in range(300):
-            bits = rng.sample(range(64), 4)
-            assert any(all(not low <= b < low + width for low, width in t for b in bits) for t in tries)
-    assert len(S.layouts(1 << 33, 4)[0]) > 1
+            bits = rng.sample(range(64), radius)
+            assert any(sum((63 - b - turn) % 64 < n for b in bits) <= errors for turn, n, errors in tries)
 
 
-def test_arranged_moves_bits():
-    x = np.array([0x0123456789ABCDEF], np.uint64)
-    y, top = S._arranged(x, [(8, 8), (32, 4)])
-    assert top == 12
-    assert int(y[0]) >> 52 == 0xCD7
-    assert np.bitwise_count(y)[0] == np.bitwise_count(x)[0]
+def walked(fp, radius=4):
+    """Pairs that the tries find in `fp`, with how many node pairs were visited and pruned."""
+    pairs, visited, pruned = set(), 0, 0
+    for t, (turn, _, _) in enumerate(S.tries(radius)):
+        turned = (fp << np.uint64(turn)) | (fp >> np.uint64(64 - turn)) if turn else fp
+        order = np.argsort(turned)
+        w = S.Walk(turned[order][:, None], S.allowed(radius)).run(np.array([[0, len(fp), 0, len(fp), 0, t]]))
+        pairs |= {tuple(sorted(p)) for i, j in w.pairs for p in zip(order[i].tolist(), order[j].tolist())}
+        visited, pruned = visited + w.visited, pruned + w.pruned
+    return pairs, visited, pruned
+
+
+def close_prints(n, rng):
+    fp = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+    for _ in range(5):
+        fp = np.concatenate([fp, fp[: n // 2] ^ (np.uint64(1) << rng.integers(0, 64, n // 2).astype(np.uint64))])
+    return np.unique(fp)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
+def test_walk_finds_all_pairs_and_prunes(radius):
+    fp = close_prints(900, np.random.default_rng(radius))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+    pairs, visited, pruned = walked(fp, radius)
+    assert pairs == {tuple(p) for p in np.argwhere(np.triu(near, 1)).tolist()}
+    assert pruned > 0
+    assert visited < len(fp) ** 2 / 10
+
+
+def test_walk_prunes_on_the_given_tables(spark):
+    import os
+
+    if not os.path.exists("/root/testdata/sf0.1/documents.parquet"):
+        pytest.skip("no tables")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fp = np.array([r.fp for r in S.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    pairs, visited, pruned = walked(np.sort(fp))
+    assert pairs
+    assert pruned > 10_000
+    assert visited < len(fp) ** 2 / 50
+
+
+def test_front_is_walked_in_parts(monkeypatch):
+    fp = close_prints(300, np.random.default_rng(9))
+    want = walked(fp)
+    monkeypatch.setattr(S, "FRONT", 50)
+    assert walked(fp) == want
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -169,7 +211,7 @@ def test_stage_edges(corpus, clashing, empty):
     assert S.deduplicated(empty).count() == 0
 
 
-def test_spread_is_exact():
+def test_wide_walk_is_exact():
     rng = np.random.default_rng(3)
     fp = rng.integers(0, 2**63, (150, S.WORDS), dtype=np.uint64)
     for i in range(1, 150):
@@ -177,14 +219,43 @@ def test_spread_is_exact():
             fp[i] = fp[i - 1]
             for b in rng.choice(256, 30, replace=False):
                 fp[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = fp[np.lexsort(fp.T[::-1])]
     near = np.bitwise_count(fp[:, None, :] ^ fp[None, :, :]).sum(axis=2) <= S.WIDE_RADIUS
     want = classes(150, zip(*np.nonzero(np.triu(near, 1))))
-    i, j = S.spread(fp, S.WIDE_RADIUS)
+    walk = S.Walk(fp, np.full((1, 257), S.WIDE_RADIUS)).run(np.array([[0, 150, 0, 150, 0, 0]]))
+    assert {tuple(sorted(p)) for i, j in walk.pairs for p in zip(i.tolist(), j.tolist())} == {tuple(p) for p in np.argwhere(np.triu(near, 1)).tolist()}
+    i, j = walk.forest()
     got = classes(150, zip(i.tolist(), j.tolist()))
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
     assert len(i) == 150 - len(set(want))
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.84, in short and long texts: at least 0.9 are found, and none below 0.8."""
+    rng = random.Random(12)
+    texts, near = [], 0
+    for g in range(400):
+        n = rng.choice([30, 60, 120, 400])
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+        other = list(words)
+        if g % 2:
+            other = other[: round(n * rng.uniform(0.8, 0.86))]
+        else:
+            for i in rng.sample(range(n), max(1, round(n * 0.02))):
+                other[i] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in S.alike(df).collect()}
+    found = 0
+    for i in range(0, len(texts), 2):
+        if similar(texts[i], texts[i + 1]) >= 0.8:
+            near, found = near + 1, found + (got[i] == got[i + 1])
+        else:
+            assert got[i] != got[i + 1]
+    assert near > 150
+    assert found >= 0.9 * near
+
+
 def linked(texts):
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similar(texts[i], texts[j]) >= 0.8]
     return classes(len(texts), pairs)
