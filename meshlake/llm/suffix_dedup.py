@@ -5,28 +5,30 @@ document). Matches never cross documents and are judged on the input.
 
 Sparse suffixes. In every window of LENGTH bytes the least hash of its 32-byte strings marks an anchor. Equal windows have
 the same anchor, so only suffixes at anchors (3 % of all) need comparing: windows that share an anchor form a run, and a
-run's bytes are its context. Runs are dealt over the cluster by a hash of the anchor's 32 bytes. Runs with equal contexts
-repeat each other whole; each task first keeps only its earliest run of a context, so a passage that a third of all
-documents hold arrives at most once a task.
+run's bytes, on both sides of its anchor, are its context. Where a task meets a context again (equal bytes) it is a repeat at
+once, and doesn't travel. The others are dealt over the cluster by the anchor.
 
-Suffix arrays. Where an anchor's string has runs with different contexts (at the ends of repeats), these are read
-from the texts and dealt again. Each group is taken in batches in document order: a batch gets an array of its window
-suffixes in byte order, is scanned against every existing level for matches of LENGTH bytes, and becomes a new level;
-levels of about equal size merge, so there are only logarithmically many.
+Index family. Each task takes its contexts in document order, a batch at a time. A batch gets a suffix array: its contexts
+in byte order from the anchor on. It is merge-scanned against every existing level, which shows contexts that are there
+already and anchors that stand in other contexts too; of the latter, windows of LENGTH bytes are compared in byte order. The
+batch then becomes a level, and levels of about equal size merge, so there are only logarithmically many. All decisions are
+by bytes; hashes only choose anchors and tasks.
 
-Texts move twice, keyed by document: to be read for contexts, and to be cut.
+An anchor that stands in very many contexts (a common line between other text) would make an uneven task. Such anchors are
+as many as a small multiple of the tasks at most; their runs are cut further by the anchors of other hashes, which often lie
+in the text around, and dealt by all of them.
+
+Texts move once, keyed by document, to be cut; a context is about 134 bytes.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +39,25 @@ ANCHOR = 32
 SPAN = LENGTH - ANCHOR + 1
 #: Bytes of text taken at once, and runs a task holds before it combines them.
 CHUNK = 1 << 18
-HELD = 2_000_000
-#: Bytes of text for each group of runs.
+HELD = 150_000
+#: Bytes of text for each task's index.
 GROUP_BYTES = 24 << 20
-#: Contexts that make a batch of the suffix index.
-BATCH = 4096
+#: Most contexts that make a batch of the index.
+BATCH = 1 << 14
+#: Rows of a batch that is sent on.
+ROWS = 20_000
+#: An anchor is common if it has more than a task's mean share of contexts, divided by this.
+COMMON = 4
+#: Hashes by which runs of common anchors are cut further.
+SALTS = (1, 2, 3)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64((1 << 24) - 1)
-RUN = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("start", "<i4"), ("n", "<u1")])
+#: A context as a key: bytes from the anchor on, bytes before it in reverse, and how many they are.
+KEY = 176
 
 
-def anchors(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start, (anchor position, hash of the anchor's bytes by position)."""
+def anchors(buffer: bytes, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each window start, (anchor position, hash of the anchor's bytes by position); another salt chooses other anchors."""
     size = len(buffer)
     x = np.empty(size - 7, np.uint64)
     for o in range(8):
@@ -58,6 +67,7 @@ def anchors(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = x[:m] * _M[0]
     for i in range(1, ANCHOR // 8):
         h += x[8 * i : 8 * i + m] * _M[i]
+    h += np.uint64(salt * 0x2545F4914F6CDD1D & (1 << 64) - 1)
     h ^= h >> np.uint64(29)
     h *= _M[1]
     h ^= h >> np.uint64(32)
@@ -71,30 +81,22 @@ def anchors(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (low & _LOW).astype(np.int64), h
 
 
-def runs(texts: list[bytes], first: np.ndarray) -> np.ndarray:
-    """Runs of the windows of `texts` (doc: number of the text; start: from the text's beginning, `first` added)."""
-    texts_size = np.array([len(t) for t in texts], np.int64)
-    end = np.cumsum(texts_size)
-    begin = end - texts_size
+def runs(texts: list[bytes], salt: int = 0) -> tuple[np.ndarray, list[bytes]]:
+    """Runs of the windows of `texts`, as rows (text, start, windows, place of the anchor from start, hash of the anchor), and their contexts."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
     buffer = b"".join(texts)
-    if len(buffer) < LENGTH:
-        return np.zeros(0, RUN)
-    at, h = anchors(buffer)
-    count = np.maximum(texts_size - LENGTH + 1, 0)
+    count = np.maximum(size - LENGTH + 1, 0)
     if not count.sum():
-        return np.zeros(0, RUN)
+        return np.zeros((5, 0), np.int64), []
+    at, h = anchors(buffer, salt)
     text = np.repeat(np.arange(len(texts)), count)
     start = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + begin[text]
     own = at[start]
     cut = np.concatenate([[0], np.nonzero((own[1:] != own[:-1]) | (text[1:] != text[:-1]))[0] + 1])
-    out = np.zeros(len(cut), RUN)
-    n = np.diff(np.append(cut, len(text)))
-    out["anchor"], out["doc"], out["n"] = h[own[cut]], text[cut], n
-    out["start"] = start[cut] - begin[text[cut]] + first[text[cut]]
-    digest = xxhash.xxh3_64_intdigest
-    low = start[cut]
-    out["context"] = np.fromiter((digest(buffer[i:j]) for i, j in zip(low.tolist(), (low + n + (LENGTH - 1)).tolist())), np.uint64, len(cut))
-    return out
+    n, low = np.diff(np.append(cut, len(text))), start[cut]
+    made = np.stack([text[cut], low - begin[text[cut]], n, own[cut] - low, h[own[cut]].view(np.int64)])
+    return made, [buffer[i:j] for i, j in zip(low.tolist(), (low + n + (LENGTH - 1)).tolist())]
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -119,153 +121,213 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.nda
         yield part, np.array(number), np.array(first)
 
 
-def combined(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs in order of anchor, context and place, and whether each is the earliest of its anchor and context."""
-    r = r[np.lexsort((r["start"], r["copy"], r["doc"], r["context"], r["anchor"]))]
-    new = np.ones(len(r), bool)
-    new[1:] = (r["anchor"][1:] != r["anchor"][:-1]) | (r["context"][1:] != r["context"][:-1])
-    return r, new
-
-
-def _map_runs(groups: int):
-    def flush(held: list[np.ndarray], split: int) -> Iterator[pa.RecordBatch]:
-        r, new = combined(np.concatenate(held))
-        rows: list[tuple[int, int, bytes]] = []
-        for kind, part in ((0, r[new]), (1, r[~new])):
-            group = (part["anchor"] % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            part, group = part[order], group[order]
-            cut = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(group)]]) if len(group) else []
-            rows += [(int(group[i]), kind, part[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
-        if rows:
-            yield pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["part", "kind", "runs"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        count = 0
-        for b in batches:
-            doc, copy = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for texts, number, first in pieces(b.column(2).to_pylist()):
-                r = runs(texts, first)
-                of = number[r["doc"]]
-                r["doc"], r["copy"] = doc[of], copy[of]
-                held.append(r)
-                count += len(r)
-                if count >= HELD:
-                    yield from flush(held, 0)
-                    held, count = [], 0
-        if held:
-            yield from flush(held, 0)
-
-    return run
-
-
-FOUND = "kind int, anchor bigint, doc bigint, copy int, start int, n int"
-
-
-def _rows(r: np.ndarray, kind: int) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(np.full(len(r), kind, np.int32)), pa.array(np.ascontiguousarray(r["anchor"]).view(np.int64)), *(pa.array(np.ascontiguousarray(r[c])) for c in ("doc", "copy", "start")), pa.array(r["n"].astype(np.int32))],
-        names=["kind", "anchor", "doc", "copy", "start", "n"],
-    )
-
-
-def _reduce_runs(table: pa.Table) -> pa.Table:
-    """Of a group's runs: repeats (kind 1), and earliest runs of anchors that have several contexts (kind 0)."""
-    kinds = table.column("kind").to_pylist()
-    parts = [np.frombuffer(x.as_buffer(), RUN) for x in table.column("runs")]
-    over = [p for k, p in zip(kinds, parts) if k]
-    r, new = combined(np.concatenate([p for k, p in zip(kinds, parts) if not k] or [np.zeros(0, RUN)]))
-    first = r[new]
-    same = np.zeros(len(first), bool)
-    equal = first["anchor"][1:] == first["anchor"][:-1]
-    same[1:] |= equal
-    same[:-1] |= equal
-    return pa.Table.from_batches([_rows(np.concatenate([r[~new], *over]), 1), _rows(first[same], 0)])
-
-
-class SuffixLevels:
-    """A logarithmic family of suffix arrays: sorted lists of suffixes (their first LENGTH bytes, each the earliest of its kind)."""
+RUNS = "doc bigint, copy int, start int, n int, at int, anchor bigint, context binary"
+
+
+class _Combiner:
+    """Collects runs (doc, copy, start, n, at, anchor) with contexts; of equal contexts the earliest keeps its bytes, the others become null."""
 
     def __init__(self):
-        self.levels: list[list[bytes]] = []
-
-    def add(self, suffixes: list[tuple[bytes, int]]) -> list[int]:
-        """Take a batch of (suffix, tag), in order of place, all later than what is there; the tags of those that are repeats."""
-        suffixes.sort(key=lambda s: s[0])  # stable: equal ones stay in order of place
-        again, fresh, last = [], [], None
-        for s, tag in suffixes:
-            if s == last:
-                again.append(tag)
-                continue
-            last = s
-            for level in self.levels:
-                i = bisect.bisect_left(level, s)
-                if i < len(level) and level[i] == s:
-                    again.append(tag)
-                    break
-            else:
-                fresh.append(s)
-        if fresh:
-            self.levels.append(fresh)
-            while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-                top = self.levels.pop()
-                self.levels[-1] = sorted(self.levels[-1] + top)  # two runs: one merge
-        return again
-
-
-def _reaches(own: list[bytes], at: list[int]) -> np.ndarray:
-    """Whether each context can share LENGTH bytes around its anchor with another: the longest match to the right plus to the left."""
-
-    def longest(keys: list[bytes]) -> np.ndarray:
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        best = np.zeros(len(keys), np.int64)
-        for i, j in zip(order, order[1:]):
-            a, b = keys[i], keys[j]
-            m = min(len(a), len(b))
-            if a[:m] == b[:m]:
-                n = m
+        self.rows: list[np.ndarray] = []
+        self.contexts: list[bytes] = []
+
+    def take(self, rows: np.ndarray, contexts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        self.rows.append(rows)
+        self.contexts += contexts
+        if len(self.contexts) >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.contexts:
+            return
+        rows, contexts = np.concatenate(self.rows, axis=1), self.contexts
+        self.rows, self.contexts = [], []
+        order = np.lexsort((rows[2], rows[1], rows[0]))
+        met: set[bytes] = set()
+        out: list[bytes | None] = []
+        for i in order.tolist():
+            c = contexts[i]
+            if c in met:
+                out.append(None)
             else:
-                n = 0
-                step = 1 << (m.bit_length() - 1)
-                while step:
-                    if n + step <= m and a[n : n + step] == b[n : n + step]:
-                        n += step
-                    step >>= 1
-            best[i], best[j] = max(best[i], n), max(best[j], n)
-        return best
-
-    return longest([c[k:] for c, k in zip(own, at)]) + longest([c[:k][::-1] for c, k in zip(own, at)]) >= LENGTH
-
-
-def _match_contexts(table: pa.Table) -> pa.Table:
-    """Repeated windows of a group's contexts, as runs (doc, copy, start, n)."""
-    anchor, doc, copy, start = (np.asarray(table.column(c)) for c in ("anchor", "doc", "copy", "start"))
-    context = table.column("context").to_pylist()
-    order = np.lexsort((start, copy, doc)).tolist()
-    by: dict[int, list[int]] = {}
-    for i in order:
-        by.setdefault(int(anchor[i]), []).append(i)
-    use = []
-    for members in by.values():
-        at = [_anchor_in(context[i]) for i in members]
-        use += [i for i, ok in zip(members, _reaches([context[i] for i in members], at)) if ok]
-    place = {i: k for k, i in enumerate(order)}
-    use.sort(key=place.__getitem__)
-    index, hits = SuffixLevels(), []
-    for k in range(0, len(use), BATCH):
-        batch = [(context[i][j : j + LENGTH], i << 8 | j) for i in use[k : k + BATCH] for j in range(len(context[i]) - LENGTH + 1)]
-        hits += index.add(batch)
-    hits = np.sort(np.array(hits, np.int64))
-    cut = np.concatenate([[0], np.nonzero(np.diff(hits) != 1)[0] + 1]) if len(hits) else np.zeros(0, np.int64)
-    n = np.diff(np.append(cut, len(hits)))
-    i, j = hits[cut] >> 8, hits[cut] & 255
-    return pa.table({"doc": doc[i], "copy": copy[i], "start": (start[i] + j).astype(np.int32), "n": n.astype(np.int32)})
-
-
-def _anchor_in(context: bytes) -> int:
-    """Place of the anchor in a run's context: all its windows have the same."""
-    return int(anchors(context[:LENGTH])[0][0])
+                met.add(c)
+                out.append(c)
+        rows = rows[:, order]
+        for k in range(0, len(out), ROWS):
+            part = rows[:, k : k + ROWS]
+            columns = [pa.array(part[0]), *(pa.array(part[i].astype(np.int32)) for i in range(1, 5)), pa.array(part[5]), pa.array(out[k : k + ROWS], pa.binary())]
+            yield pa.record_batch(columns, names=["doc", "copy", "start", "n", "at", "anchor", "context"])
+
+
+def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, copy, body) to `RUNS`."""
+    combiner = _Combiner()
+    for b in batches:
+        doc, copy = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
+        for texts, number, first in pieces(b.column(2).to_pylist()):
+            made, contexts = runs(texts)
+            of = number[made[0]]
+            yield from combiner.take(np.stack([doc[of], copy[of], made[1] + first[made[0]], *made[2:]]), contexts)
+    yield from combiner.flush()
+
+
+def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`RUNS` of common anchors to shorter runs, dealt by further anchors."""
+    combiner = _Combiner()
+    for b in batches:
+        rows = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(6)])
+        contexts = b.column(6).to_pylist()
+        for salt in SALTS:
+            made, contexts = runs(contexts, salt)
+            old = rows[:, made[0]]
+            mixed = (old[5].view(np.uint64) * _M[2] ^ made[4].view(np.uint64)).view(np.int64)
+            rows = np.stack([old[0], old[1], old[2] + made[1], made[2], old[4] - made[1], mixed])
+        yield from combiner.take(rows, contexts)
+    yield from combiner.flush()
+
+
+def keys(contexts: pa.BinaryArray, at: np.ndarray) -> np.ndarray:
+    """Contexts with anchors at `at` as rows of `KEY` bytes, whose byte order is that of the suffixes that begin at the anchors."""
+    n = len(contexts)
+    edge = np.frombuffer(contexts.buffers()[1], np.int32, n + 1, 4 * contexts.offset).astype(np.int64)
+    data = np.frombuffer(contexts.buffers()[2], np.uint8)
+    begin, size = edge[:-1], np.diff(edge)
+    right, left = size - at, at
+    out = np.zeros((n, KEY), np.uint8)
+    place = np.arange(LENGTH)
+    ok = place < right[:, None]
+    out[:, :LENGTH] = np.where(ok, data[np.where(ok, (begin + at)[:, None] + place, 0)], 0)
+    place = np.arange(SPAN - 1)
+    ok = place < left[:, None]
+    out[:, LENGTH : LENGTH + SPAN - 1] = np.where(ok, data[np.where(ok, (begin + at - 1)[:, None] - place, 0)], 0)
+    out[:, KEY - 2], out[:, KEY - 1] = right, left + 1
+    return out
+
+
+def _in_order(k: np.ndarray) -> np.ndarray:
+    """The suffix array: a stable order by bytes. Sorted runs in it are merged, not sorted again."""
+    return np.argsort(np.ascontiguousarray(k).view(f"S{k.shape[1]}").ravel(), kind="stable")
+
+
+def _change(k: np.ndarray, width: int) -> np.ndarray:
+    """Whether each row differs from the one before in its first `width` bytes (a multiple of 8)."""
+    words = k.view(np.uint64)[:, : width // 8]
+    return np.append(True, (words[1:] != words[:-1]).any(axis=1))[: len(k)]
+
+
+def _longest(k: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The longest prefix that each row of `k` (of which `size` bytes count) shares with another of its group."""
+    head = group.astype(">u4").view(np.uint8).reshape(-1, 4)
+    order = _in_order(np.concatenate([head, k], axis=1))
+    a, b = order[:-1], order[1:]
+    equal = k[a] == k[b]
+    length = np.where(equal.all(axis=1), k.shape[1], equal.argmin(axis=1))
+    length = np.where(group[a] == group[b], np.minimum(length, np.minimum(size[a], size[b])), 0)
+    best = np.zeros(len(k), np.int64)
+    np.maximum.at(best, a, length)
+    np.maximum.at(best, b, length)
+    return best
+
+
+class SuffixFamily:
+    """A logarithmic family of sparse suffix arrays: levels of distinct contexts in the byte order of their suffixes."""
+
+    def __init__(self):
+        self.levels: list[np.ndarray] = []
+        self.merges = self.scans = 0
+
+    def add(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take a batch of keys, in order of place and all later than what is there: (row, window) of the windows that are repeats."""
+        order = _in_order(batch)
+        array = batch[order]
+        first = _change(array, KEY)
+        known = ~first
+        group = np.cumsum(_change(array, ANCHOR)) - 1
+        distinct = np.bincount(group, first, minlength=group[-1] + 1)
+        others: list[tuple[np.ndarray, np.ndarray]] = []
+        for level in self.levels:
+            self.scans += 1
+            both = np.concatenate([level, array])
+            merged = _in_order(both)
+            scan, new = both[merged], merged >= len(level)
+            whole, near = _change(scan, KEY), np.cumsum(_change(scan, ANCHOR)) - 1
+            block = np.cumsum(whole) - 1
+            old = np.zeros(block[-1] + 1, bool)
+            old[block[~new]] = True
+            known[merged[new] - len(level)] |= old[block[new]]
+            of = np.full(near[-1] + 1, -1)
+            of[near[new]] = group[merged[new] - len(level)]
+            met = ~new & (of[near] >= 0)
+            others.append((scan[met], of[near[met]]))
+            distinct += np.bincount(of[near[met]], minlength=len(distinct))
+        fresh = first & ~known
+        contested = fresh & (distinct[group] > 1)
+        row, window = order[known], None
+        n = self._windows(batch)
+        whole_rows = np.repeat(row, n[row])
+        whole_windows = np.arange(len(whole_rows)) - np.repeat(np.cumsum(n[row]) - n[row], n[row])
+        rows, windows = [whole_rows], [whole_windows]
+        if contested.any():
+            row, window = self._partly([x for x in others if len(x[0])], array[contested], group[contested], order[contested])
+            rows.append(row)
+            windows.append(window)
+        if fresh.any():
+            self._push(array[fresh])
+        return np.concatenate(rows), np.concatenate(windows)
+
+    @staticmethod
+    def _windows(k: np.ndarray) -> np.ndarray:
+        return k[:, KEY - 2].astype(np.int64) + k[:, KEY - 1] - LENGTH
+
+    def _push(self, level: np.ndarray) -> None:
+        self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            both = np.concatenate([self.levels[-2], self.levels[-1]])
+            self.levels[-2:] = [both[_in_order(both)]]
+            self.merges += 1
+
+    def _partly(self, others: list, new: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, window) of the new contexts' windows that an older context or an earlier new one of the same anchor has."""
+        order = np.argsort(place, kind="stable")
+        new, group, place = new[order], group[order], place[order]
+        k = np.concatenate([*(x for x, _ in others), new])
+        g = np.concatenate([*(x for _, x in others), group])
+        row = np.concatenate([np.full(len(k) - len(new), -1), place])
+        right, left = k[:, KEY - 2].astype(np.int64), k[:, KEY - 1].astype(np.int64) - 1
+        reach = _longest(k[:, :LENGTH], right, g) + _longest(k[:, LENGTH : LENGTH + SPAN - 1], left, g) >= LENGTH
+        k, row, right, left = k[reach], row[reach], right[reach], left[reach]
+        if not len(k):
+            return row, row
+        n = right + left - LENGTH + 1
+        of = np.repeat(np.arange(len(k)), n)
+        window = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        line = np.concatenate([k[:, LENGTH : LENGTH + SPAN - 1][:, ::-1], k[:, :LENGTH]], axis=1)  # bytes before the anchor end at SPAN - 1
+        bytes_ = np.zeros((len(of), LENGTH + 4), np.uint8)
+        for i in range(0, len(of), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            low = (SPAN - 1 - left[of[part]] + window[part])[:, None] + np.arange(LENGTH)
+            bytes_[part, :LENGTH] = line[of[part][:, None], low]
+        array = _in_order(bytes_)
+        again = array[~_change(bytes_[array], LENGTH + 4)]  # the first of equal windows is the earliest
+        again = again[row[of[again]] >= 0]
+        return row[of[again]], window[again]
+
+
+def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`RUNS` in order of place to repeated windows, as runs (doc, copy, start, n)."""
+    index = SuffixFamily()
+    for b in batches:
+        for k in range(0, b.num_rows, BATCH):
+            part = b.slice(k, BATCH)
+            doc, copy, start = (np.asarray(part.column(i)) for i in range(3))
+            row, window = index.add(keys(part.column(6), np.asarray(part.column(4)).astype(np.int64)))
+            if not len(row):
+                continue
+            place = np.sort(row << 8 | window)
+            cut = np.concatenate([[0], np.nonzero(np.diff(place) != 1)[0] + 1])
+            n = np.diff(np.append(cut, len(place)))
+            i, j = place[cut] >> 8, place[cut] & 255
+            yield pa.record_batch([pa.array(doc[i]), pa.array(copy[i]), pa.array((start[i] + j).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "copy", "start", "n"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -281,16 +343,18 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """(doc, copy, start, n): runs of windows in `rows` (doc, copy, body) whose bytes also start earlier."""
     spark = rows.sparkSession
-    groups = max(partitions(spark), ceil((rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0) / GROUP_BYTES))
-    found = rows.select("doc", "copy", "body").mapInArrow(_map_runs(groups), "part bigint, kind int, runs binary")
-    found = kept(found.groupBy("part").applyInArrow(_reduce_runs, FOUND), "runs")
-    wanted = found.where("kind = 0").groupBy(F.col("doc").alias("d"), F.col("copy").alias("c")).agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
-    texts = rows.join(wanted, (rows["doc"] == wanted["d"]) & (rows["copy"] == wanted["c"]))
-    each = texts.select("doc", "copy", "body", F.explode("wanted").alias("w"))
-    context = F.substring("body", F.col("w.start") + 1, F.col("w.n") + (LENGTH - 1))
-    each = each.select(F.pmod("w.anchor", F.lit(groups)).alias("part"), F.col("w.anchor").alias("anchor"), "doc", "copy", F.col("w.start").alias("start"), context.alias("context"))
-    matched = each.groupBy("part").applyInArrow(_match_contexts, "doc bigint, copy int, start int, n int")
-    return found.where("kind = 1").select("doc", "copy", "start", "n").unionByName(matched)
+    tasks = max(partitions(spark), ceil((rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0) / GROUP_BYTES))
+    found = kept(rows.select("doc", "copy", "body").mapInArrow(_map_runs, RUNS), "runs")
+    first, again = found.where("context IS NOT NULL"), found.where("context IS NULL")
+    most = first.count() / (COMMON * tasks)
+    common = kept(first.groupBy("anchor").count().where(F.col("count") > max(16, most)).select("anchor"), "common")  # fewer than COMMON * tasks
+    if not common.isEmpty():
+        cut = kept(first.join(common, "anchor", "left_semi").select(*first.columns).mapInArrow(_split_runs, RUNS), "cut")
+        first = first.join(common, "anchor", "left_anti").select(*first.columns).unionByName(cut.where("context IS NOT NULL"))
+        again = again.unionByName(cut.where("context IS NULL"))
+    dealt = first.repartition(tasks, "anchor").sortWithinPartitions("doc", "copy", "start")
+    matched = dealt.mapInArrow(_family, "doc bigint, copy int, start int, n int")
+    return again.select("doc", "copy", "start", "n").unionByName(matched)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

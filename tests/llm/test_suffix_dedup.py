@@ -1,8 +1,12 @@
 """Suffix-array dedup against a set of all 100-byte strings."""
 
 import hashlib
+import os
 import random
 
+import pyarrow as pa
+import pytest
+
 from meshlake.llm import suffix_dedup as S
 
 from .conftest import prose
@@ -66,23 +70,63 @@ def test_empty(empty):
     assert S.suffix_dedup(empty).count() == 0
 
 
-def test_levels_are_logarithmic():
+def indexed(texts, batch):
+    """A family over the contexts of `texts`, and the repeated windows (text, start) it finds."""
+    index, found = S.SuffixFamily(), set()
+    made, contexts = S.runs(texts)
+    for k in range(0, len(contexts), batch):
+        part = pa.array(contexts[k : k + batch], pa.binary())
+        row, window = index.add(S.keys(part, made[3, k : k + batch]))
+        found |= {(int(made[0, k + i]), int(made[1, k + i] + j)) for i, j in zip(row, window)}
+    return index, found
+
+
+def repeated(texts):
+    seen, out = set(), set()
+    for t, b in enumerate(texts):
+        for i in range(len(b) - LONG + 1):
+            if b[i : i + LONG] in seen:
+                out.add((t, i))
+            seen.add(b[i : i + LONG])
+    return out
+
+
+@pytest.mark.parametrize("batch", [1, 3, 40, 1000])
+def test_family_finds_all_and_stays_logarithmic(batch):
     rng = random.Random(1)
-    index, seen, again = S.SuffixLevels(), set(), 0
-    for _ in range(200):
-        batch = [(bytes(rng.randrange(2) for _ in range(8)).ljust(LONG, b"."), t) for t in range(20)]
-        got = index.add(list(batch))
-        want = []
-        for s, t in batch:
-            if s in seen:
-                want.append(t)
-            seen.add(s)
-        assert sorted(got) == sorted(want)
-        again += len(got)
-    assert again > 0
-    assert len(index.levels) <= 10
-    assert all(level == sorted(level) for level in index.levels)
-    assert sum(map(len, index.levels)) == len(seen)
+    shared = [prose(rng, 30).encode() for _ in range(4)]
+    texts = [prose(rng, 6).encode() + b" " + rng.choice(shared) + b" " + prose(rng, 6).encode() for _ in range(60)]
+    texts += [b"ab" * 200, b"\0" * 300, b"x" + b"\0" * 250, bytes(range(256)) * 2, bytes(range(256))]
+    index, found = indexed(texts, batch)
+    assert found == repeated(texts)
+    assert len(index.levels) <= 11
+    for level in index.levels:
+        assert [bytes(k) for k in level] == sorted(bytes(k) for k in level)
+    assert batch == 1000 or index.merges > 0
+    assert batch == 1000 or index.scans > 0
+
+
+def test_family_merges_on_the_given_tables(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    texts = [(r.text or "").encode() for r in spark.read.parquet(path).orderBy("doc_id").limit(150).collect()]
+    index, found = indexed(texts, 2000)
+    assert index.merges > 0 and index.scans > 3
+    assert found == repeated(texts)
+
+
+def test_common_anchors_are_cut_further(spark, monkeypatch):
+    rng = random.Random(8)
+    line = prose(rng, 9)[:70]
+    rows = [(i, prose(rng, 12) + "\n" + line + "\n" + prose(rng, 12)) for i in range(120)]
+    rows += [(200 + i, prose(rng, 4) + "\n" + line + "\n" + rows[i][1][-60:]) for i in range(30)]
+    monkeypatch.setattr(S, "COMMON", 1000)
+    calls = []
+    kept = S.kept
+    monkeypatch.setattr(S, "kept", lambda df, tag: calls.append(tag) or kept(df, tag))
+    assert result(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+    assert "cut" in calls
 
 
 def test_equal_windows_share_anchors():
@@ -97,5 +141,7 @@ def test_equal_windows_share_anchors():
 
 def test_several_groups(spark, corpus, monkeypatch):
     monkeypatch.setattr(S, "GROUP_BYTES", 5000)
+    monkeypatch.setattr(S, "BATCH", 64)
+    monkeypatch.setattr(S, "HELD", 100)
     want = brute(ordered([(r.doc_id, r.text) for r in corpus.collect()]))
     assert result(corpus) == want
