@@ -6,7 +6,8 @@ document). Matches never cross documents and are judged on the input.
 Sparse suffixes. In every window of LENGTH bytes the least hash of its 32-byte strings marks an anchor. Equal windows have
 the same anchor, so only suffixes at anchors (3 % of all) need comparing: windows that share an anchor form a run, and a
 run's bytes, on both sides of its anchor, are its context. Where a task meets a context again (equal bytes) it is a repeat at
-once, and doesn't travel. The others are dealt over the cluster by the anchor.
+once, and doesn't travel. Of the others only hashes of anchors travel first, without bytes: an anchor that occurs once in
+all can't match. The contexts of the rest (a quarter of all runs) are read from the texts and dealt over the cluster by anchor.
 
 Index family. Each task takes its contexts in document order, a batch at a time. A batch gets a suffix array: its contexts
 in byte order from the anchor on. It is merge-scanned against every existing level, which shows contexts that are there
@@ -18,7 +19,7 @@ An anchor that stands in very many contexts (a common line between other text) w
 as many as a small multiple of the tasks at most; their runs are cut further by the anchors of other hashes, which often lie
 in the text around, and dealt by all of them.
 
-Texts move once, keyed by document, to be cut; a context is about 134 bytes.
+Texts move twice, keyed by document: to be read for contexts, and to be cut.
 """
 
 from __future__ import annotations
@@ -121,59 +122,106 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.nda
         yield part, np.array(number), np.array(first)
 
 
-RUNS = "doc bigint, copy int, start int, n int, at int, anchor bigint, context binary"
+RUN = np.dtype([("anchor", "<i8"), ("doc", "<i8"), ("copy", "<i4"), ("start", "<i4"), ("n", "<u1"), ("at", "<u1")])
+FOUND = "doc bigint, copy int, start int, n int"
+RUNS = f"{FOUND}, at int, anchor bigint"
+CONTEXTS = f"{RUNS}, context binary"
+
+
+def _batch(rows: np.ndarray, names: str, context: list[bytes | None] | None = None) -> pa.RecordBatch:
+    """Rows (doc, copy, start, n, at, anchor; as many as `names` has) as columns."""
+    own = [x.split() for x in names.split(", ")][: len(rows)]
+    columns = [pa.array(rows[i].astype(np.int64 if kind == "bigint" else np.int32)) for i, (_, kind) in enumerate(own)]
+    extra = [] if context is None else [pa.array(context, pa.binary())]
+    return pa.record_batch([*columns, *extra], names=[n for n, _ in own] + ["context"] * len(extra))
 
 
 class _Combiner:
-    """Collects runs (doc, copy, start, n, at, anchor) with contexts; of equal contexts the earliest keeps its bytes, the others become null."""
+    """Collects runs (doc, copy, start, n, at, anchor) with contexts; of equal contexts the earliest keeps its bytes, the others become None."""
 
     def __init__(self):
         self.rows: list[np.ndarray] = []
         self.contexts: list[bytes] = []
 
-    def take(self, rows: np.ndarray, contexts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def take(self, rows: np.ndarray, contexts: list[bytes]) -> bool:
+        """Whether it is time to flush."""
         self.rows.append(rows)
         self.contexts += contexts
-        if len(self.contexts) >= HELD:
-            yield from self.flush()
+        return len(self.contexts) >= HELD
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.contexts:
-            return
-        rows, contexts = np.concatenate(self.rows, axis=1), self.contexts
+    def flush(self) -> tuple[np.ndarray, list[bytes | None]]:
+        rows, contexts = np.concatenate([*self.rows, np.zeros((6, 0), np.int64)], axis=1), self.contexts
         self.rows, self.contexts = [], []
         order = np.lexsort((rows[2], rows[1], rows[0]))
         met: set[bytes] = set()
         out: list[bytes | None] = []
         for i in order.tolist():
             c = contexts[i]
-            if c in met:
-                out.append(None)
-            else:
-                met.add(c)
-                out.append(c)
-        rows = rows[:, order]
-        for k in range(0, len(out), ROWS):
-            part = rows[:, k : k + ROWS]
-            columns = [pa.array(part[0]), *(pa.array(part[i].astype(np.int32)) for i in range(1, 5)), pa.array(part[5]), pa.array(out[k : k + ROWS], pa.binary())]
-            yield pa.record_batch(columns, names=["doc", "copy", "start", "n", "at", "anchor", "context"])
-
-
-def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, copy, body) to `RUNS`."""
-    combiner = _Combiner()
-    for b in batches:
-        doc, copy = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
-        for texts, number, first in pieces(b.column(2).to_pylist()):
-            made, contexts = runs(texts)
-            of = number[made[0]]
-            yield from combiner.take(np.stack([doc[of], copy[of], made[1] + first[made[0]], *made[2:]]), contexts)
-    yield from combiner.flush()
+            out.append(None if c in met else c)
+            met.add(c)
+        return rows[:, order], out
+
+
+def _map_runs(tasks: int, repeats: bool):
+    """(doc, copy, body) to the runs that a task has met before (`FOUND`), or to the others, packed by task of their anchor (part, runs).
+
+    Both read the same rows in the same order, so every run is in one of the two.
+    """
+
+    def send(combiner: _Combiner) -> Iterator[pa.RecordBatch]:
+        rows, contexts = combiner.flush()
+        again = np.array([c is None for c in contexts], bool)
+        if repeats:
+            if again.any():
+                yield _batch(rows[:4, again], FOUND)
+            return
+        rows = rows[:, ~again]
+        packed = np.zeros(rows.shape[1], RUN)
+        for name, row in zip(("doc", "copy", "start", "n", "at", "anchor"), rows):
+            packed[name] = row
+        part = (packed["anchor"].view(np.uint64) % np.uint64(tasks)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        packed, part = packed[order], part[order]
+        cut = np.nonzero(np.diff(part, prepend=-1, append=-1))[0] if len(part) else np.zeros(1, np.int64)
+        if len(part):
+            blobs = [packed[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
+            yield pa.record_batch([pa.array(part[cut[:-1]]), pa.array(blobs, pa.binary())], names=["part", "runs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        combiner = _Combiner()
+        for b in batches:
+            doc, copy = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)
+            for texts, number, first in pieces(b.column(2).to_pylist()):
+                made, contexts = runs(texts)
+                of = number[made[0]]
+                if combiner.take(np.stack([doc[of], copy[of], made[1] + first[made[0]], *made[2:]]), contexts):
+                    yield from send(combiner)
+        yield from send(combiner)
+
+    return run
+
+
+def _shared_anchors(table: pa.Table) -> pa.Table:
+    """Of packed runs, those whose anchor occurs more than once (`RUNS`)."""
+    r = np.concatenate([np.frombuffer(x.as_buffer(), RUN) for x in table.column("runs")])
+    r = r[np.argsort(r["anchor"], kind="stable")]
+    same = np.zeros(len(r), bool)
+    equal = r["anchor"][1:] == r["anchor"][:-1]
+    same[1:] |= equal
+    same[:-1] |= equal
+    r = r[same]
+    return pa.Table.from_batches([_batch(np.stack([r[c].astype(np.int64) for c in ("doc", "copy", "start", "n", "at", "anchor")]), RUNS)])
 
 
 def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`RUNS` of common anchors to shorter runs, dealt by further anchors."""
+    """`CONTEXTS` of common anchors to shorter runs, dealt by further anchors; what is equal to an earlier one of the task loses its context."""
     combiner = _Combiner()
+
+    def send() -> Iterator[pa.RecordBatch]:
+        rows, contexts = combiner.flush()
+        for k in range(0, len(contexts), ROWS):
+            yield _batch(rows[:, k : k + ROWS], RUNS, contexts[k : k + ROWS])
+
     for b in batches:
         rows = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(6)])
         contexts = b.column(6).to_pylist()
@@ -182,8 +230,9 @@ def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old = rows[:, made[0]]
             mixed = (old[5].view(np.uint64) * _M[2] ^ made[4].view(np.uint64)).view(np.int64)
             rows = np.stack([old[0], old[1], old[2] + made[1], made[2], old[4] - made[1], mixed])
-        yield from combiner.take(rows, contexts)
-    yield from combiner.flush()
+        if combiner.take(rows, contexts):
+            yield from send()
+    yield from send()
 
 
 def keys(contexts: pa.BinaryArray, at: np.ndarray) -> np.ndarray:
@@ -314,20 +363,23 @@ class SuffixFamily:
 
 
 def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`RUNS` in order of place to repeated windows, as runs (doc, copy, start, n)."""
+    """`CONTEXTS` in order of place to repeated windows, as runs (`FOUND`); a run without its context is a repeat already."""
     index = SuffixFamily()
     for b in batches:
+        whole = np.asarray(b.column(6).is_null())
+        rows = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(5)])
+        if whole.any():
+            yield _batch(rows[:4, whole], FOUND)
+            b, rows = b.filter(pa.array(~whole)), rows[:, ~whole]
         for k in range(0, b.num_rows, BATCH):
-            part = b.slice(k, BATCH)
-            doc, copy, start = (np.asarray(part.column(i)) for i in range(3))
-            row, window = index.add(keys(part.column(6), np.asarray(part.column(4)).astype(np.int64)))
+            doc, copy, start, _, at = rows[:, k : k + BATCH]
+            row, window = index.add(keys(b.column(6).slice(k, BATCH), at))
             if not len(row):
                 continue
             place = np.sort(row << 8 | window)
             cut = np.concatenate([[0], np.nonzero(np.diff(place) != 1)[0] + 1])
-            n = np.diff(np.append(cut, len(place)))
             i, j = place[cut] >> 8, place[cut] & 255
-            yield pa.record_batch([pa.array(doc[i]), pa.array(copy[i]), pa.array((start[i] + j).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "copy", "start", "n"])
+            yield _batch(np.stack([doc[i], copy[i], start[i] + j, np.diff(np.append(cut, len(place)))]), FOUND)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -344,17 +396,24 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     """(doc, copy, start, n): runs of windows in `rows` (doc, copy, body) whose bytes also start earlier."""
     spark = rows.sparkSession
     tasks = max(partitions(spark), ceil((rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0) / GROUP_BYTES))
-    found = kept(rows.select("doc", "copy", "body").mapInArrow(_map_runs, RUNS), "runs")
-    first, again = found.where("context IS NOT NULL"), found.where("context IS NULL")
-    most = first.count() / (COMMON * tasks)
-    common = kept(first.groupBy("anchor").count().where(F.col("count") > max(16, most)).select("anchor"), "common")  # fewer than COMMON * tasks
+    texts = rows.select("doc", "copy", "body")
+    packed = texts.mapInArrow(_map_runs(tasks, False), "part bigint, runs binary")
+    shared = kept(packed.groupBy("part").applyInArrow(_shared_anchors, RUNS), "shared")
+    most = shared.count() / (COMMON * tasks)
+    common = kept(shared.groupBy("anchor").count().where(F.col("count") > max(16, most)).select(F.col("anchor").alias("often")), "common")  # fewer than COMMON * tasks
+    marked = shared.join(common, shared["anchor"] == common["often"], "left")
+    run = F.struct("start", "n", "at", "anchor", F.col("often").isNotNull().alias("often"))
+    wanted = marked.groupBy(F.col("doc").alias("d"), F.col("copy").alias("c")).agg(F.collect_list(run).alias("wanted"))
+    met = texts.join(wanted, (texts["doc"] == wanted["d"]) & (texts["copy"] == wanted["c"]))
+    each = met.select("doc", "copy", "body", F.explode("wanted").alias("w"))
+    context = F.substring("body", F.col("w.start") + 1, F.col("w.n") + (LENGTH - 1))
+    each = each.select("doc", "copy", "w.start", "w.n", "w.at", "w.anchor", context.alias("context"), "w.often")
+    found = each.where("NOT often").drop("often")
     if not common.isEmpty():
-        cut = kept(first.join(common, "anchor", "left_semi").select(*first.columns).mapInArrow(_split_runs, RUNS), "cut")
-        first = first.join(common, "anchor", "left_anti").select(*first.columns).unionByName(cut.where("context IS NOT NULL"))
-        again = again.unionByName(cut.where("context IS NULL"))
-    dealt = first.repartition(tasks, "anchor").sortWithinPartitions("doc", "copy", "start")
-    matched = dealt.mapInArrow(_family, "doc bigint, copy int, start int, n int")
-    return again.select("doc", "copy", "start", "n").unionByName(matched)
+        found = found.unionByName(each.where("often").drop("often").mapInArrow(_split_runs, CONTEXTS))
+    to = F.when(F.col("context").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("anchor")).alias("to")
+    dealt = found.select("*", to).repartition(tasks, "to").sortWithinPartitions("doc", "copy", "start").drop("to")
+    return dealt.mapInArrow(_family, FOUND).unionByName(texts.mapInArrow(_map_runs(tasks, True), FOUND))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
