@@ -19,7 +19,7 @@ An anchor that stands in very many contexts (a common line between other text) w
 as many as a small multiple of the tasks at most; their runs are cut further by the anchors of other hashes, which often lie
 in the text around, and dealt by all of them.
 
-Texts move twice, keyed by document: to be read for contexts, and to be cut.
+Texts move once, keyed by document: to be read for contexts and to be cut.
 """
 
 from __future__ import annotations
@@ -125,7 +125,9 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.nda
 RUN = np.dtype([("anchor", "<i8"), ("doc", "<i8"), ("copy", "<i4"), ("start", "<i4"), ("n", "<u1"), ("at", "<u1")])
 FOUND = "doc bigint, copy int, start int, n int"
 RUNS = f"{FOUND}, at int, anchor bigint"
-CONTEXTS = f"{RUNS}, context binary"
+#: `to`: by what a context is dealt, its anchor at first.
+CONTEXTS = f"{FOUND}, at int, to bigint, context binary"
+NULLS = 1 << 30
 
 
 def _batch(rows: np.ndarray, names: str, context: list[bytes | None] | None = None) -> pa.RecordBatch:
@@ -219,8 +221,10 @@ def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def send() -> Iterator[pa.RecordBatch]:
         rows, contexts = combiner.flush()
+        again = np.array([c is None for c in contexts], bool)
+        rows[5, again] = rows[0, again] * 31 + rows[2, again]  # a repeat has no bytes to meet others with
         for k in range(0, len(contexts), ROWS):
-            yield _batch(rows[:, k : k + ROWS], RUNS, contexts[k : k + ROWS])
+            yield _batch(rows[:, k : k + ROWS], CONTEXTS, contexts[k : k + ROWS])
 
     for b in batches:
         rows = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(6)])
@@ -383,37 +387,36 @@ def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, copy, doc_id, body): null ids come last; rows that repeat an id are numbered in order of their digests."""
+    """(doc, copy, body): null ids come last (as the greatest doc, with copies from `NULLS`); rows that repeat an id are numbered in order of their digests."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     if rows.groupBy("doc").agg(F.count("*").alias("n")).where(f"n > 1 OR doc = {(1 << 63) - 1}").isEmpty():
-        return rows.withColumn("copy", F.lit(0))
-    of = Window.partitionBy("doc").orderBy(F.col("doc_id").isNull(), F.sha2("body", 256))
-    return kept(rows.withColumn("copy", F.row_number().over(of)), "keyed")
+        return rows.select("doc", F.lit(0).alias("copy"), "body")
+    null = F.col("doc_id").isNull()
+    of = Window.partitionBy("doc").orderBy(null, F.sha2("body", 256))
+    return kept(rows.select("doc", (F.row_number().over(of) + F.when(null, NULLS).otherwise(0)).alias("copy"), "body"), "keyed")
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """(doc, copy, start, n): runs of windows in `rows` (doc, copy, body) whose bytes also start earlier."""
     spark = rows.sparkSession
     tasks = max(partitions(spark), ceil((rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0) / GROUP_BYTES))
-    texts = rows.select("doc", "copy", "body")
-    packed = texts.mapInArrow(_map_runs(tasks, False), "part bigint, runs binary")
+    packed = rows.mapInArrow(_map_runs(tasks, False), "part bigint, runs binary")
     shared = kept(packed.groupBy("part").applyInArrow(_shared_anchors, RUNS), "shared")
     most = shared.count() / (COMMON * tasks)
     common = kept(shared.groupBy("anchor").count().where(F.col("count") > max(16, most)).select(F.col("anchor").alias("often")), "common")  # fewer than COMMON * tasks
     marked = shared.join(common, shared["anchor"] == common["often"], "left")
     run = F.struct("start", "n", "at", "anchor", F.col("often").isNotNull().alias("often"))
     wanted = marked.groupBy(F.col("doc").alias("d"), F.col("copy").alias("c")).agg(F.collect_list(run).alias("wanted"))
-    met = texts.join(wanted, (texts["doc"] == wanted["d"]) & (texts["copy"] == wanted["c"]))
+    met = rows.join(wanted, (rows["doc"] == wanted["d"]) & (rows["copy"] == wanted["c"]))  # moves texts as `suffix_dedup` does: Spark reuses the exchange
     each = met.select("doc", "copy", "body", F.explode("wanted").alias("w"))
     context = F.substring("body", F.col("w.start") + 1, F.col("w.n") + (LENGTH - 1))
-    each = each.select("doc", "copy", "w.start", "w.n", "w.at", "w.anchor", context.alias("context"), "w.often")
+    each = each.select("doc", "copy", "w.start", "w.n", "w.at", F.col("w.anchor").alias("to"), context.alias("context"), "w.often")
     found = each.where("NOT often").drop("often")
     if not common.isEmpty():
         found = found.unionByName(each.where("often").drop("often").mapInArrow(_split_runs, CONTEXTS))
-    to = F.when(F.col("context").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("anchor")).alias("to")
-    dealt = found.select("*", to).repartition(tasks, "to").sortWithinPartitions("doc", "copy", "start").drop("to")
-    return dealt.mapInArrow(_family, FOUND).unionByName(texts.mapInArrow(_map_runs(tasks, True), FOUND))
+    dealt = found.repartition(tasks, "to").sortWithinPartitions("doc", "copy", "start")
+    return dealt.mapInArrow(_family, FOUND).unionByName(rows.mapInArrow(_map_runs(tasks, True), FOUND))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +450,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = keyed(docs)
     hits = repeated_runs(rows).groupBy(F.col("doc").alias("d"), F.col("copy").alias("c")).agg(F.collect_list(F.struct("start", "n")).alias("hits"))
-    met = rows.join(hits, (rows["doc"] == hits["d"]) & (rows["copy"] == hits["c"]), "left").select("doc_id", "body", "hits")
+    met = rows.join(hits, (rows["doc"] == hits["d"]) & (rows["copy"] == hits["c"]), "left")
+    met = met.select(F.when(F.col("copy") < NULLS, F.col("doc")).alias("doc_id"), "body", "hits")
     return met.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
