@@ -2,8 +2,15 @@
 
 A text is folded to letters and single spaces; its subwords are the byte n-grams that hold no inner space, hashed into
 `buckets` rows of an embedding table. The text's vector is the mean of its subwords' rows, and a softmax layer scores the
-languages. As everything but the softmax is linear, the trained tables fold into one (buckets x languages) table, so
-predicting is a sum of table rows. Temperature and the rejection threshold are fitted on rows kept out of training.
+languages, and one class more for what is in none of them. That class learns from texts made of the training texts: letters
+shuffled, letters of other scripts in their place, and random letters (`foils`); subwords that no training text has count
+for nothing but that class. As everything but the softmax is linear, the trained tables fold into one (buckets x classes)
+table, so predicting is a sum of table rows.
+
+Temperature and the rejection threshold are fitted on rows kept out of training, together with short cuts of them and foils
+of their own, so that the rows don't separate perfectly: a text is rejected if the probability of its likeliest language is
+under a threshold. It keeps all but `LOSS` of the calibration texts, and lies (in logarithms) in the middle between that and
+what all but `LEAK` of the foils stay under.
 """
 
 from __future__ import annotations
@@ -24,8 +31,14 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 1 << 16
 #: Texts are folded and hashed in pieces of this many bytes.
 PIECE = 1 << 18
-#: Share of rightly predicted calibration rows that rejection may cost.
+#: Share of rightly predicted calibration rows that rejection may cost, and share of calibration foils that may pass.
 LOSS = 0.002
+LEAK = 0.01
+#: Most bytes of a foil, and texts for each foil.
+FOIL_BYTES = 2000
+FOIL_EVERY = 2
+#: First letters and sizes of ranges of letters in many scripts, from which foils are made.
+SCRIPTS = ((0x0370, 0x80), (0x0400, 0x100), (0x0530, 0x60), (0x05D0, 0x1B), (0x0620, 0x40), (0x0900, 0x80), (0x0E00, 0x3A), (0x10A0, 0x60), (0x1100, 0x100), (0x1E00, 0x100), (0x3040, 0xC0), (0x4E00, 0x5000), (0xAC00, 0x2B00))
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 for _c in range(26):
@@ -60,6 +73,38 @@ def subwords(data: bytes, bits: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def foils(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """One text in no language for every `FOIL_EVERY` of `texts`, by turns: its letters shuffled, in another script, and random ones of a to z."""
+    out = []
+    for i, t in enumerate(texts[::FOIL_EVERY]):
+        chars = list(t[:FOIL_BYTES].decode("utf-8", "ignore"))
+        at = [k for k, c in enumerate(chars) if c.isalpha()]
+        if i % 3 == 0:
+            new = [chars[k] for k in rng.permutation(at)] if at else []
+        else:
+            first, size = SCRIPTS[int(rng.integers(len(SCRIPTS)))] if i % 3 == 1 else (97, 26)
+            new = [chr(first + int(x)) for x in rng.integers(0, size, len(at))]
+        for k, c in zip(at, new):
+            chars[k] = c
+        out.append("".join(chars).encode())
+    return out
+
+
+def short_cuts(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """A run of two to twelve words of each text."""
+    out = []
+    for t in texts:
+        words = t[:FOIL_BYTES].split()
+        n = int(rng.integers(2, 13))
+        first = int(rng.integers(0, max(1, len(words) - n + 1)))
+        out.append(b" ".join(words[first : first + n]))
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -70,64 +115,84 @@ class Model:
     threshold: float = 0.0
 
     def logits(self, text: bytes) -> np.ndarray:
+        """One for each language, and the last for none of them."""
         ids = subwords(text, self.bits)
         if not len(ids):
             return self.bias.copy()
-        total = np.zeros(len(self.languages))
+        total = np.zeros(len(self.bias))
         for k in range(0, len(ids), 1 << 16):
             total += self.table[ids[k : k + (1 << 16)]].sum(axis=0, dtype=np.float64)
         return total / len(ids) + self.bias
 
+    def probabilities(self, z: np.ndarray) -> np.ndarray:
+        p = np.exp((z - z.max(axis=-1, keepdims=True)) / self.temperature)
+        return p / p.sum(axis=-1, keepdims=True)
+
     def predict(self, text: bytes) -> tuple[str, float]:
         """The likeliest language and its calibrated probability; (und, 0) for a text without letters."""
-        if not _LETTER.search(text.decode("utf-8", "replace")) or not self.languages:
+        if not self.languages or not has_letter(text.decode("utf-8", "replace")):
             return UND, 0.0
-        z = self.logits(text) / self.temperature
-        p = np.exp(z - z.max())
+        p = self.probabilities(self.logits(text))[:-1]
         best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        return self.languages[best], float(p[best])
 
 
 def train(texts: list[bytes], labels: list[str], dim: int = 16, bits: int = 15, epochs: int = 12, batch: int = 16, rate: float = 2.0, seed: int = 7) -> Model:
-    """Fit a model on four fifths of the rows and calibrate it on the others. One label or none: that label, always."""
+    """Fit a model on four fifths of the rows and calibrate it on the others. Without rows: a model that predicts nothing."""
     languages = sorted(set(labels))
-    if len(languages) < 2:
-        return Model(languages, np.zeros((1 << bits, len(languages)), np.float32), np.zeros(len(languages)), bits)
+    if not languages:
+        return Model(languages, np.zeros((1 << bits, 1), np.float32), np.zeros(1), bits)
     rng = np.random.default_rng(seed)
-    y = np.searchsorted(languages, labels)
     order = rng.permutation(len(texts))
     cut = max(1, len(texts) // 5)
     held, used = order[:cut], order[cut:]
     if len(used) == 0:
         held = used = order
+    of = dict(zip(languages, range(len(languages))))
+    none = len(languages)
+    fitted = [texts[i] for i in used]
+    strange = foils(fitted, rng)
+    known = np.array([of[labels[i]] for i in used] + [none] * len(strange))
     rows = []
-    for t in texts:
+    for t in fitted + strange:
         ids, n = np.unique(subwords(t, bits), return_counts=True)
         rows.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     embed = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
-    out, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, at = epochs * -(-len(used) // batch), 0
+    seen = np.zeros(1 << bits, bool)
+    for ids, _ in rows[: len(fitted)]:
+        seen[ids] = True
+    out, bias = np.zeros((dim, none + 1), np.float32), np.zeros(none + 1, np.float32)
+    each = -(-len(rows) // batch)
+    steps, at = epochs * each, 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(used), -(-len(used) // batch)):
+        for part in np.array_split(rng.permutation(len(rows)), each):
             lr, at = rate * (1 - at / steps), at + 1
             hidden = np.stack([rows[i][1] @ embed[rows[i][0]] for i in part])
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), y[part]] -= 1
+            p[np.arange(len(part)), known[part]] -= 1
             p /= len(part)
             back = p @ out.T
             out -= lr * hidden.T @ p
             bias -= lr * p.sum(axis=0)
             for i, g in zip(part, back):
                 embed[rows[i][0]] -= (lr * len(part)) * rows[i][1][:, None] * g
-    model = Model(languages, embed @ out, bias.astype(np.float64), bits)
-    z = np.stack([model.logits(texts[i]) for i in held])
-    model.temperature = min(np.geomspace(0.05, 20, 120), key=lambda t: _loss(z / t, y[held]))
-    p = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
-    p /= p.sum(axis=1, keepdims=True)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[held]])
-    model.threshold = float(min(0.4, right[int(len(right) * LOSS)] * 0.98)) if len(right) else 0.0
+    table = embed @ out
+    table[~seen, :none] = table[~seen, :none].min(axis=1, keepdims=True, initial=0.0)  # what no training text has speaks for no language
+    table[~seen, none] = np.maximum(table[~seen, none], np.quantile(table[seen, :none].max(axis=1), 0.5) if seen.any() else 0.0)
+    model = Model(languages, table, bias.astype(np.float64), bits)
+    whole = [texts[i] for i in held]
+    short, odd = short_cuts(whole, rng), foils(whole, rng)
+    y = np.array([of[labels[i]] for i in held])
+    z, zs, zo = (np.stack([model.logits(t) for t in some]) for some in (whole, short, odd))
+    all_z, all_y = np.concatenate([z, zs, zo]), np.concatenate([y, y, np.full(len(odd), none)])
+    model.temperature = float(min(np.geomspace(0.05, 20, 120), key=lambda t: _loss(all_z / t, all_y)))
+    p = model.probabilities(z)[:, :-1]
+    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
+    passing = np.quantile(model.probabilities(zo)[:, :-1].max(axis=1), 1 - LEAK)
+    least = right[int(len(right) * LOSS)] if len(right) else 0.0
+    model.threshold = float(np.sqrt(passing * least) if passing < least else least)  # between the two, or as much as the texts allow
     return model
 
 
@@ -141,12 +206,14 @@ def held_out(folds: int = 5, fold: int = 0) -> Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, seed: int = 11) -> tuple[list[bytes], list[str]]:
-    """At most about `rows` texts with a language, none longer than `size` bytes or held out, by a hash of doc_id."""
+    """At most about `rows` texts with a language, none longer than `size` bytes or held out, by a hash of doc_id; as many of each language as there are, up to an equal share."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    share = min(1.0, rows / max(1, known.select("doc_id").count()))
-    picked = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    picked = picked.where(F.octet_length("text") <= size).select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("binary").alias("t"), F.col("lang").alias("l"))
-    got = sorted((r["d"], bytes(r["t"]), r["l"]) for r in picked.limit(2 * rows).collect())
+    known = known.where(F.octet_length("text") <= size).select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("binary").alias("t"), F.col("lang").cast("string").alias("l"))
+    counts = known.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("n"))
+    share = max(1, rows // max(1, counts.count()))
+    met = known.join(counts, F.col("l") == F.col("of"))
+    picked = met.where(F.pmod(F.xxhash64("d", F.lit(seed)), F.lit(1 << 30)) < F.lit(share) / F.col("n") * (1 << 30))
+    got = sorted((r["d"], bytes(r["t"]), r["l"]) for r in picked.select("d", "t", "l").limit(2 * rows).collect())
     return [t for _, t, _ in got], [lang for _, _, lang in got]
 
 

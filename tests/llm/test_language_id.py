@@ -2,6 +2,7 @@
 
 from zlib import crc32
 
+import pytest
 from pyspark.sql import functions as F
 
 from meshlake.llm import language_id as L
@@ -37,13 +38,52 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert (texts, labels) == L.sample(docs)
 
 
-def test_unclear_texts_are_rejected(spark):
+STRANGE = [
+    "xqz vvkw jjpq zzxk qwv kkjx zqqp wvxj pqzk xxjv qkwz", "Это предложение написано по-русски и не выучено", "这是一个没有学过的语言的句子", "これは学習していない言語の文です",
+    "هذه جملة بلغة لم يتم تعلمها", "Αυτή η πρόταση είναι στα ελληνικά", "שלום עולם זה משפט בעברית", "यह वाक्य हिंदी में है", "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾᛁᛃ ᛇᛈᛉᛊᛏᛒ", "qx", "asdkjh qwoeiu zmxncb lkjhgf poiuyt",
+]
+
+
+def test_strange_texts_are_rejected_by_the_fitted_threshold(spark):
     docs = two_languages(spark)
     model = L.fit(docs)
-    mixed = docs.limit(1).select(F.lit(1000).cast("bigint").alias("doc_id"), F.lit("zq xj vv").alias("text"))
-    assert L.predicted(mixed, model).first().score < 0.999
-    model.threshold = 1.1
-    assert L.predicted(docs, model).where("NOT rejected").count() == 0
+    strange = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id bigint, text string")
+    passed = L.predicted(strange, model).where("NOT rejected").collect()
+    assert len(passed) <= 1, passed
+    assert 0 < model.threshold < 1
+    assert L.predicted(docs, model).where("rejected").count() <= 3
+    assert L.accepted(docs).count() >= 297
+
+
+def test_strange_texts_on_the_given_tables(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path)
+    model = L.fit(docs)
+    assert 0.05 < model.temperature < 20
+    strange = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id bigint, text string")
+    passed = L.predicted(strange, model).where("NOT rejected").collect()
+    assert len(passed) <= 1, passed
+    out = L.predicted(docs.withColumn("held", L.held_out()), model).where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    held = [r for r in out if r.held]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+    assert sum(r.rejected for r in out) <= 0.01 * len(out)
+
+
+def test_rare_languages_are_sampled(spark):
+    rows = [(i, "some words here", "rare" if i % 400 == 7 else "common") for i in range(4000)]
+    _, labels = L.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rows=200)
+    assert labels.count("rare") == sum(i % 400 == 7 and crc32(str(i).encode()) % 5 != 0 for i in range(4000))
+    assert 50 < labels.count("common") < 150
+
+
+def test_numerals_are_no_letters(spark):
+    model = L.fit(two_languages(spark))
+    df = spark.createDataFrame([(1, "² ³ ½ 12"), (2, "ª x")], "doc_id bigint, text string")
+    assert [r.lang_pred == "und" for r in L.predicted(df, model).orderBy("doc_id").collect()] == [True, False]
 
 
 def test_edges(corpus, clashing, empty):
