@@ -5,6 +5,10 @@ part of that is taken outright. The fractional parts meet in pairs: words move a
 without bias, until one of the two is taken or left for good; the other goes on with what remains. The words of a source
 are thus kept at every step, and at the end at most one document a source is left, which is rounded to the nearer side.
 
+What is left last of a source can be a document so large that rounding it misses the target by far. So documents that hold
+much of their source's target (`CLASSES`) are rounded first, in trees of their own, and smaller ones then share what remains
+of the target, each taken as often as that asks for. Every document is still taken `f` times on average.
+
 Pairs form in a reduction tree. Documents of a source are dealt by a hash of their doc_id into blocks of about `BLOCK`;
 each block folds to one residual document, the residuals form the next level's blocks, and so on until each source has
 one. A block pairs its larger documents first, so that what is left at its end is small. Blocks are bounded, so a hot
@@ -22,6 +26,8 @@ from ._shared import kept, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
+#: Shares of a source's target: documents above the first are rounded before those above the second, and so on.
+CLASSES = (0.08, 0.004)
 SEED = 20_240_501
 EPS = 1e-9
 NAMES = ("at", "tie", "doc_id", "size", "p")
@@ -88,30 +94,15 @@ def _fold(items: Column, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def allotted(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """One row for each distinct (source, doc_id, size): with rows (how many), source_size, target, copies (of all its rows).
-
-    Size: words of the text, 0 where it is null or blank; such rows are never taken. A null source is a source, the last
-    one. Rows that repeat (source, doc_id, size) share their copies evenly. Other columns are ignored. An empty table
-    gives an empty result. The result depends only on these columns, not on the order or partitions of the rows.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"))
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")
-    units = kept(rows.groupBy(key, "source", "doc_id", "size").agg(F.count("*").alias("rows")), "units")
-    kind = (F.col("size") > 0).cast("int").alias("kind")
-    kinds = kept(units.groupBy("key", "source", kind).agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("words")), "kinds")
-    sources = kinds.groupBy("key", "source").agg(F.sum("words").alias("source_size"), F.sum(F.ceil(F.col("n") / block)).alias("blocks"))
-    aims = targets(sources, weights, share, most)
-    plan = kept(kinds.select("key", "kind", F.ceil(F.col("n") / block).alias("kind_blocks")).join(aims.drop("source"), "key"), "plan")
-    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    aimed = units.withColumn("kind", kind).join(plan, ["key", "kind"]).withColumn("e", F.when(F.col("size") > 0, factor * F.col("rows")).otherwise(0.0))
-    aimed = aimed.withColumn("whole", F.floor(F.col("e") + EPS)).withColumn("p", F.col("e") - F.col("whole"))
+def _rounded(units: DataFrame, blocks_by: DataFrame, block: int, seed: int) -> DataFrame:
+    """(key, doc_id, size, more = 1): which of `units` (key, doc_id, size, p) with a fraction p are taken once more; `blocks_by`: (key, n) units of a source."""
+    plan = blocks_by.select(F.col("key").alias("of"), F.ceil(F.col("n") / block).alias("blocks"))
     item = F.struct((-F.col("size").cast("double")).alias("at"), F.xxhash64(F.lit(SEED), "doc_id", "size").alias("tie"), "doc_id", "size", "p")
-    deal = aimed.where(F.col("p") > EPS).select("key", "blocks", item.alias("item"), F.col("kind"), F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "size"), F.col("kind_blocks")).alias("block"))
+    met = units.where(F.col("p") > EPS).join(plan, F.col("key") == F.col("of"))
+    deal = met.select("key", "blocks", item.alias("item"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")).alias("block"))
     blocks, level, taken = (plan.agg(F.max("blocks")).first()[0] or 0), 0, None
     while True:
-        folded = deal.groupBy("key", "blocks", "kind", "block").agg(_fold(F.sort_array(F.collect_list("item")), level).alias("f"))
+        folded = deal.groupBy("key", "blocks", "block").agg(_fold(F.sort_array(F.collect_list("item")), level).alias("f"))
         folded = kept(folded.select("key", "blocks", "f.one", "f.left"), "fold")
         one = folded.select("key", F.explode("one").alias("o")).select("key", "o.doc_id", "o.size")
         taken = one if taken is None else taken.unionByName(one)
@@ -120,15 +111,56 @@ def allotted(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
             break
         blocks = ceil(blocks / block)
         narrower = F.ceil(F.col("blocks") / block)
-        deal = folded.where("left IS NOT NULL").select("key", narrower.alias("blocks"), F.col("left").alias("item"), F.lit(0).alias("kind"), F.pmod(F.xxhash64(F.lit(SEED + 1 + level), "left.doc_id", "left.size"), narrower).alias("block"))
+        deal = folded.where("left IS NOT NULL").select("key", narrower.alias("blocks"), F.col("left").alias("item"), F.pmod(F.xxhash64(F.lit(seed + level), "left.doc_id", "left.size"), narrower).alias("block"))
     last = folded.where("left IS NOT NULL").where("left.p >= 0.5").select("key", "left.doc_id", "left.size")
-    extra = taken.unionByName(last).select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"), F.lit(1).alias("more"))
-    out = aimed.join(extra, (aimed["key"] == extra["k"]) & aimed["doc_id"].eqNullSafe(extra["d"]) & (aimed["size"] == extra["s"]), "left")
-    return out.select("source", "doc_id", "size", "rows", "source_size", "target", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("copies"))
+    return taken.unionByName(last).withColumn("more", F.lit(1))
+
+
+def _copies(units: DataFrame, factor: DataFrame, block: int, seed: int) -> DataFrame:
+    """`units` (key, doc_id, size, rows) with copies: each is taken `factor` (key, factor) times its rows, rounded."""
+    aimed = units.join(factor.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).withColumn("e", F.col("factor") * F.col("rows"))
+    aimed = aimed.withColumn("whole", F.floor(F.col("e") + EPS)).withColumn("p", F.col("e") - F.col("whole")).drop("of", "factor", "e")
+    more = _rounded(aimed, units.groupBy("key").agg(F.count("*").alias("n")), block, seed).select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"), "more")
+    out = aimed.join(more, (aimed["key"] == more["k"]) & aimed["doc_id"].eqNullSafe(more["d"]) & (aimed["size"] == more["s"]), "left")
+    return out.select(*units.columns, (F.col("whole") + F.coalesce("more", F.lit(0))).alias("copies"))
+
+
+def allotted(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """One row for each distinct (source, doc_id, size): with rows (how many), source_size, target, copies (of all its rows).
+
+    Size: words of the text, 0 where it is null or blank; such rows are never taken. Whole texts are counted, however long. A
+    null source is a source, the last one. Rows that repeat (source, doc_id, size) share their copies evenly. Other columns
+    are ignored. An empty table gives an empty result. The result depends only on these columns, not on the order or
+    partitions of the rows. A source's words come within half of the last of `CLASSES` of its target, but where its large documents
+    leave more or less than the others can take.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"))
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")
+    units = kept(rows.groupBy(key, "source", "doc_id", "size").agg(F.count("*").alias("rows")), "units")
+    sources = units.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
+    aims = kept(targets(sources, weights, share, most).drop("source"), "aims")
+    own = ("key", "source", "doc_id", "size", "rows")
+    sized = units.where("size > 0").join(aims.select(F.col("key").alias("of"), "target"), F.col("key") == F.col("of"))
+    place = sum((F.col("size") <= F.lit(c) * F.col("target")).cast("int") for c in CLASSES)
+    state, out = aims.withColumns({"held": F.lit(0).cast("bigint"), "beside": F.lit(0).cast("bigint")}), units.where("size = 0").select(*own, F.lit(0).cast("bigint").alias("copies"))
+    for k in range(len(CLASSES) + 1):
+        room = F.col("source_size") - F.col("beside")
+        asked = F.when(room > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - F.col("held")) / room))).otherwise(0.0)
+        done = kept(_copies(sized.where(place == k).select(*own), state.select("key", asked.alias("factor")), block, SEED + 1 + 100 * k), "rounded")
+        out = out.unionByName(done)
+        if k < len(CLASSES):
+            gone = done.groupBy(F.col("key").alias("of")).agg(F.sum(F.col("copies") * F.col("size")).alias("more_held"), F.sum(F.col("rows") * F.col("size")).alias("more_beside"))
+            grown = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0)) for c in ("held", "beside")}
+            state = kept(state.join(gone, F.col("key") == F.col("of"), "left").select("key", "target", "source_size", *[x.alias(c) for c, x in grown.items()]), "state")
+    return out.join(aims.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("source", "doc_id", "size", "rows", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the mix takes, each as often as it is taken, all columns and `copy` (1, 2, ...)."""
+    """The rows of `docs` that the mix takes, each as often as it is taken, all columns and `copy` (1, 2, ...).
+
+    A column `copy` of `docs` is replaced. Nulls, empty texts, repeated rows and empty tables are as in `allotted`.
+    """
     found = kept(allotted(docs, **options).where("copies > 0"), "allotted")
     clash = {c: f"mix__{c}" for c in ("source", "doc_id", "size", "rows", "copies")}
     found = found.select(*[F.col(k).alias(v) for k, v in clash.items()])

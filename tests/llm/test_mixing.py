@@ -59,6 +59,38 @@ def test_targets_and_words(many):
         assert abs(got[s] - target) <= 200
 
 
+@pytest.mark.parametrize("giants", [(6000,), (700, 900, 2500), (300,) * 9])
+def test_giant_documents_leave_targets_near(spark, giants):
+    """Every source comes within 1 % of its target or its smallest document, though a document holds much of it."""
+    rng = random.Random(len(giants))
+    rows = []
+    for s in range(6):
+        sizes = [*giants, *(rng.randrange(1, 15) for _ in range(900))]
+        rows += [(len(rows) + i, " ".join(["w"] * n), f"s{s}") for i, n in enumerate(sizes)]
+    got, target = {}, {}
+    for u in taken(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), block=64):
+        assert 0 <= u["copies"] <= 2
+        got[u["source"]] = got.get(u["source"], 0) + u["copies"] * u["size"]
+        target[u["source"]] = u["target"]
+    assert all(abs(got[s] - t) <= max(1, 0.01 * t) for s, t in target.items()), (got, target)
+
+
+def test_near_targets_on_the_given_tables(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    got, target, least = {}, {}, {}
+    for u in taken(spark.read.parquet(path)):
+        s = u["source"]
+        got[s] = got.get(s, 0) + u["copies"] * u["size"]
+        target[s] = u["target"]
+        least[s] = min(least.get(s, u["size"]), u["size"] or 1)
+    far = {s: (got[s], t) for s, t in target.items() if abs(got[s] - t) > max(least[s], 0.01 * t)}
+    assert not far
+
+
 def test_unbiased(spark):
     """Over many seeds of ids, a document is taken about as often as its target says."""
     rng = random.Random(2)
