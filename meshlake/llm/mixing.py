@@ -96,7 +96,7 @@ def _fold(items: Column, level: int) -> Column:
 
 def _rounded(units: DataFrame, blocks_by: DataFrame, block: int, seed: int) -> DataFrame:
     """(key, doc_id, size, more = 1): which of `units` (key, doc_id, size, p) with a fraction p are taken once more; `blocks_by`: (key, n) units of a source."""
-    plan = blocks_by.select(F.col("key").alias("of"), F.ceil(F.col("n") / block).alias("blocks"))
+    plan = kept(blocks_by.select(F.col("key").alias("of"), F.ceil(F.col("n") / block).alias("blocks")), "plan")  # its size is known then: units don't move to meet it
     item = F.struct((-F.col("size").cast("double")).alias("at"), F.xxhash64(F.lit(SEED), "doc_id", "size").alias("tie"), "doc_id", "size", "p")
     met = units.where(F.col("p") > EPS).join(plan, F.col("key") == F.col("of"))
     deal = met.select("key", "blocks", item.alias("item"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")).alias("block"))
