@@ -46,36 +46,50 @@ def _chunk_text(chunk: Column) -> Column:
     return F.array_join(F.slice("__lines", chunk["from"] + 1, chunk["lines"]), "\n")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with __id, __tie and __uid: together they tell rows apart; the last two are 0 where doc_ids do so alone."""
+    docs = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    if docs.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1 OR __id IS NULL").isEmpty():
+        return docs.withColumns({"__tie": F.lit(0).cast("bigint"), "__uid": F.lit(0).cast("bigint")})
+    return kept(docs.withColumns({"__tie": F.xxhash64(F.col("text").cast("string")), "__uid": F.monotonically_increasing_id()}), "rows")
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """`docs` with repeated multi-line chunks cut from text, and __n_lines, __n_removed (lines).
 
     A null text stays null with 0 lines; an empty one is one line and stays. Single-line texts are never cut. Rows that
-    repeat a doc_id count as one document, and null as one doc_id, after all others: equal chunks at the same place of
-    such rows all stay. A text whose chunks are all removed becomes empty. An empty table gives an empty result.
+    repeat a doc_id are documents of their own, in order of a hash of their texts; a null doc_id comes after all others. A
+    text whose chunks are all removed becomes empty. Texts are split and hashed whole, however long; the time they take is in
+    proportion to their lines. Columns whose names begin with __ are reserved. An empty table gives an empty result.
     """
-    key = F.col("doc_id").cast("bigint").alias("__id")
+    rows = _keyed(docs)
+    key = ["__id", "__tie", "__uid"]
     digests = F.transform("__chunks", lambda c, i: F.struct(i.alias("k"), F.when(c["lines"] > 1, F.unhex(F.md5(_chunk_text(c).cast("binary")))).alias("digest")))
-    parts = chunked(docs.select(key, "text")).select("__id", F.explode(F.filter(digests, lambda x: x["digest"].isNotNull())).alias("x"))
-    parts = kept(parts.select("__id", F.col("x.k").alias("__k"), F.col("x.digest").alias("__digest")), "chunks")
-    place = F.struct(F.col("__id").isNull().alias("last"), "__id", F.col("__k").alias("k"))
-    many = parts.groupBy("__digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = parts.join(many, "__digest").select("__id", F.struct(F.col("__k").alias("k"), F.col("__digest").alias("digest"), (place != F.col("first")).alias("later")).alias("hit"))
-    lists = again.groupBy("__id").agg(F.collect_list("hit").alias("__hits"))
-
-    def met(lists: DataFrame) -> DataFrame:
-        by = lists.select(F.col("__id").alias("__of"), "__hits")
-        return docs.join(by.hint("merge"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("__of")), "left").drop("__of")
-
-    joined = kept(met(lists), "met")
-    bodies = F.transform(F.filter("__hits", lambda h: h["k"] < F.size("__chunks")), lambda h: F.struct(h["digest"].alias("digest"), _chunk_text(F.element_at("__chunks", h["k"] + 1)).alias("body")))
+    parts = chunked(rows.select(*key, "text")).select(*key, F.explode(F.filter(digests, lambda x: x["digest"].isNotNull())).alias("x"))
+    parts = kept(parts.select(*key, F.col("x.k").alias("__k"), F.col("x.digest").alias("__digest")), "chunks")
+    place = F.struct(F.col("__id").isNull().alias("last"), *key, F.col("__k").alias("k"))
+    many = parts.groupBy("__digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("__digest").alias("__of"), "first")
+    many = kept(many, "many")  # then a digest with very many chunks is a skewed join, which is split, and not a group
+    again = parts.join(many, F.col("__digest") == F.col("__of")).select(*key, F.struct(F.col("__k").alias("k"), F.col("__digest").alias("digest"), (place != F.col("first")).alias("later")).alias("hit"))
+
+    def met(again: DataFrame) -> DataFrame:
+        lists = again.groupBy(*key).agg(F.sort_array(F.collect_list("hit")).alias("__hits"))
+        by = lists.select(*[F.col(c).alias(f"{c}_of") for c in key], "__hits")
+        on = rows["__id"].eqNullSafe(F.col("__id_of")) & (rows["__uid"] == F.col("__uid_of"))
+        return rows.join(by.hint("merge"), on, "left").drop(*[f"{c}_of" for c in key])
+
+    joined = kept(met(again), "met")
+    bodies = F.transform("__hits", lambda h: F.struct(h["digest"].alias("digest"), _chunk_text(F.element_at("__chunks", h["k"] + 1)).alias("body")))
     found = chunked(joined.where("__hits IS NOT NULL").select("text", "__hits")).select(F.explode(bodies).alias("x")).select("x.digest", "x.body")
-    same = found.where(F.unhex(F.md5(F.col("body").cast("binary"))) == F.col("digest"))
-    differ = kept(same.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("bad")), "differ")
+    differ = kept(found.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("bad")), "differ")
     if not differ.isEmpty():  # equal digests of other bytes: those chunks stay
-        joined = kept(met(again.join(differ, F.col("hit.digest") == F.col("bad"), "left_anti").groupBy("__id").agg(F.collect_list("hit").alias("__hits"))), "met")
-    cut = chunked(joined).withColumn("__gone", F.filter(F.coalesce("__hits", F.array().cast(joined.schema["__hits"].dataType)), lambda h: h["later"]))
-    flagged = F.transform("__chunks", lambda c, i: F.struct(c.alias("c"), F.exists("__gone", lambda h: (h["k"] == i) & (h["digest"] == F.unhex(F.md5(_chunk_text(c).cast("binary"))))).alias("gone")))
-    cut = cut.withColumn("__flagged", F.when(F.size("__gone") > 0, flagged))
+        joined = kept(met(again.join(differ, F.col("hit.digest") == F.col("bad"), "left_anti")), "met")
+    gone = F.transform(F.filter("__hits", lambda h: h["later"]), lambda h: h["k"])
+    steps = F.zip_with(_later(gone, F.lit(-1)), gone, lambda a, b: F.concat(F.repeat(F.lit("0"), b - a - 1), F.lit("1")))
+    flags = F.array_join(steps, "").cast("binary")  # a byte a chunk, which is looked up in constant time
+    cut = chunked(joined).withColumn("__flags", F.when(F.size(gone) > 0, flags))
+    flagged = F.transform("__chunks", lambda c, i: F.struct(c.alias("c"), (F.substring("__flags", i + 1, F.lit(1)) == F.lit(b"1")).alias("gone")))
+    cut = cut.withColumn("__flagged", F.when(F.col("__flags").isNotNull(), flagged))
     left = F.array_join(F.transform(F.filter("__flagged", lambda x: ~x["gone"]), lambda x: _chunk_text(x["c"])), "\n")
     removed = F.aggregate(F.filter("__flagged", lambda x: x["gone"]), F.lit(0), lambda n, x: n + x["c"]["lines"])
     text = F.when(F.col("__flagged").isNotNull(), left).otherwise(F.col("text").cast("string"))

@@ -18,24 +18,19 @@ def chunks(text):
 
 
 def brute(rows):
-    """(text, lines, removed) by row; rows in order of doc_id, those with one doc_id being one document."""
-    first, out = {}, []
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    for i in order:
-        doc, text = rows[i]
-        for k, c in enumerate(chunks(text) if text is not None else []):
-            if len(c) > 1:
-                first.setdefault("\n".join(c), (doc, k))
-    for doc, text in rows:
+    """(doc_id, text, lines, removed) by row; rows in order of doc_id, null last. Rows of one doc_id hold equal texts here."""
+    seen, out = set(), []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         if text is None:
             out.append((doc, None, 0, 0))
             continue
         keep, gone = [], 0
-        for k, c in enumerate(chunks(text)):
-            if len(c) > 1 and first["\n".join(c)] != (doc, k):
+        for c in chunks(text):
+            if len(c) > 1 and "\n".join(c) in seen:
                 gone += len(c)
             else:
                 keep += c
+                seen |= {"\n".join(c)} if len(c) > 1 else set()
         out.append((doc, "\n".join(keep), len(text.split("\n")), gone))
     return sorted(out, key=repr)
 
@@ -84,3 +79,26 @@ def test_copies_lose_all_lines(spark, rng):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in D.without_repeats(df).collect()) == [0, 1, 2, 3]
     assert D.line_dedup(df).where(F.col("doc_id") > 3).where("text <> ''").isEmpty()
+
+
+def test_rows_without_an_id_and_of_one_id(spark, rng):
+    block, other = lined(rng, 20), lined(rng, 20)
+    df = spark.createDataFrame([(None, block)] * 5 + [(7, block), (7, other), (7, other), (None, other)], "doc_id bigint, text string")
+    out = D.line_dedup(df).collect()
+    assert sum(r.text == block for r in out) == sum(r.text == other for r in out) == 1
+    assert {r.doc_id for r in out if r.text} == {7}
+    assert sum(r["__n_removed"] for r in out) == 7 * 20
+
+
+def test_very_long_text(spark, rng):
+    """Fifty thousand lines, half of them repeats, in a few seconds."""
+    lines = [f"line {i % 25_000} of the text" for i in range(50_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "short\ntext")], "doc_id bigint, text string")
+    assert result(df) == brute([(1, "\n".join(lines)), (2, "short\ntext")])
+
+
+def test_equal_digests_of_other_bytes_stay(spark, rng, monkeypatch):
+    """With a digest that is the same for all chunks, none is removed."""
+    monkeypatch.setattr(D.F, "md5", lambda c: F.lit("00" * 16))
+    df = spark.createDataFrame([(i, "a\nb\nc" if i < 2 else f"x{i}\ny\nz") for i in range(4)], "doc_id bigint, text string")
+    assert sum(r["__n_removed"] for r in D.line_dedup(df).collect()) == 0
