@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,17 +16,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of local sessions that have set none.
+_local: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`. Where it is unset, a local session (tests) gets a temporary one."""
+    """The folder all executors see: `spark.checkpoint.dir`. Where it is unset, a session in one process (tests) gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    atexit.register(_remove_local, root)
-    return root
+    if not _local:
+        _local.append(f"file://{tempfile.mkdtemp(prefix='meshlake-')}")
+        atexit.register(_remove_local, _local[0])
+    return _local[0]
 
 
 def _remove_local(root: str) -> None:
@@ -42,6 +47,14 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 _made: list[str] = []
 
 
+def temporary(path: str) -> str:
+    """`path`, which is deleted like the tables that `kept` makes."""
+    if not _made:
+        atexit.register(_delete_all)
+    _made.append(path)
+    return path
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """`df` written as a table in the shared folder and read again: it cuts lineage, and later readers don't compute it anew.
 
@@ -51,9 +64,7 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    if not _made:
-        atexit.register(_delete_all)
-    _made.append(path)
+    temporary(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ def encode_netpbm(pixels: np.ndarray) -> bytes:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """Pixels of a P1 to P6 file: (h, w) or (h, w, 3), uint8 or, above 255, uint16; bitmaps as 0 (black) and 255."""
+    """Pixels of a P1 to P6 file: (h, w) or (h, w, 3), uint8 or, above 255, uint16, scaled so that its maximum is the type's; bitmaps as 0 (black) and 255."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise MediaError("not a Netpbm file")
@@ -55,9 +55,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     bands = 3 if kind in (b"P3", b"P6") else 1
     if kind == b"P4":
         row = (w + 7) // 8
-        raw = np.frombuffer(data, np.uint8, count=-1, offset=at + 1)[: row * h]
-        if len(raw) < row * h:
+        if len(data) - at - 1 < row * h:
             raise MediaError("too few samples")
+        raw = np.frombuffer(data, np.uint8, row * h, at + 1)
         return (1 - np.unpackbits(raw.reshape(h, row), axis=1)[:, :w]) * np.uint8(255)
     if kind in (b"P5", b"P6"):
         form = np.dtype(np.uint8 if top < 256 else ">u2")
@@ -69,9 +69,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         tokens = re.findall(rb"[01]", text) if kind == b"P1" else text.split()
         if len(tokens) < w * h * bands:
             raise MediaError("too few samples")
-        out = np.array(tokens[: w * h * bands], dtype=np.int64).astype(np.uint8 if top < 256 else np.uint16)
+        if not all(t.isdigit() and len(t) < 6 for t in tokens[: w * h * bands]):
+            raise MediaError("a sample is not a number")
+        out = np.array(tokens[: w * h * bands], dtype=np.int64)
+        if out.max() > top:
+            raise MediaError("a sample is above the maximum")
+        out = out.astype(np.uint8 if top < 256 else np.uint16)
         if kind == b"P1":
-            out = (1 - out) * np.uint8(255)
+            return ((1 - out) * np.uint8(255)).reshape(h, w)
+    full = 255 if top < 256 else 65535
+    if top != full:
+        out = np.minimum((out.astype(np.int64) * full + top // 2) // top, full).astype(out.dtype)
     return out.reshape((h, w, 3) if bands == 3 else (h, w))
 
 
@@ -94,13 +102,21 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise MediaError("not a BMP file")
     start = struct.unpack_from("<I", data, 10)[0]
     size, w, h, _, bits, packing = struct.unpack_from("<IiiHHI", data, 14)
-    if size < 40 or packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w < 1 or not h:
+    if size < 40 or packing not in (0, 3) or (packing == 3 and bits != 32) or bits not in (1, 4, 8, 24, 32) or w < 1 or not h:
         raise MediaError("a BMP form that is not supported")
     stride, tall = (w * bits + 31) // 32 * 4, abs(h)
     if len(data) < start + stride * tall:
         raise MediaError("too few samples")
     raw = np.frombuffer(data, np.uint8, stride * tall, start).reshape(tall, stride)
     raw = raw[::-1] if h > 0 else raw
+    if bits == 32 and packing == 3:
+        masks = struct.unpack_from("<III", data, 54) if len(data) >= 66 else (0, 0, 0)
+        if not all(masks):
+            raise MediaError("bad BMP masks")
+        cells = np.ascontiguousarray(raw[:, : w * 4]).view("<u4").astype(np.uint64)
+        shift = [(m & -m).bit_length() - 1 for m in masks]
+        parts = [((cells & np.uint64(m)) >> np.uint64(k)) * 255 // (m >> k) for m, k in zip(masks, shift)]
+        return np.stack(parts, axis=2).astype(np.uint8)
     if bits >= 24:
         return raw[:, : w * bits // 8].reshape(tall, w, bits // 8)[:, :, 2::-1].copy()
     if bits < 8:
@@ -109,13 +125,21 @@ def decode_bmp(data: bytes) -> np.ndarray:
     else:
         index = raw[:, :w]
     used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    if used > 256 or len(data) < 14 + size + used * 4 or int(index.max()) >= used:
+        raise MediaError("bad BMP palette")
     palette = np.frombuffer(data, np.uint8, used * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
     out = palette[index]
     return out[:, :, 0].copy() if (palette == palette[:, :1]).all() else out
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """Pixels of a Netpbm or BMP file; `MediaError` for whatever else, cut or damaged bytes included."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except MediaError:
+        raise
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
+        raise MediaError(f"damaged bytes: {e}") from e
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -151,8 +175,9 @@ def npy(pixels: np.ndarray) -> bytes:
 def tiles(media: DataFrame, column: str = "media", tile: tuple[int, int] = TILE) -> DataFrame:
     """`media` with height, width, tile (NPY bytes, uint8), dhash (16 hex digits) and error for each image in `column`.
 
-    Null, empty and undecodable bytes give nulls and, unless null, the reason in `error`. New columns that clash with
-    present ones take their place.
+    Null, empty and undecodable bytes give nulls and, unless null, the reason in `error`; no bytes fail the job. Repeated rows
+    each get their tile; an empty table gives an empty result. An image is decoded whole, however large. New columns that
+    clash with present ones take their place.
     """
     fields = {"height": pa.int32(), "width": pa.int32(), "tile": pa.binary(), "dhash": pa.string(), "error": pa.string()}
     rest = [c for c in media.columns if c not in fields]
@@ -180,7 +205,9 @@ def tiles(media: DataFrame, column: str = "media", tile: tuple[int, int] = TILE)
 def stored_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded with 255 to a positive multiple of 576, as the samples of a P5 image 24 wide.
 
-    A null text is empty. The rows are written as a table in the shared folder and read from there.
+    A null text is empty; a text is stored whole, however long; rows that repeat a doc_id, or have none, are stored each; an
+    empty table gives an empty one. Other columns are not stored. The rows are written as a table in the shared folder and
+    read from there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import kept, shared_path
+from ._shared import kept, shared_path, temporary
 
 ROLL = 32 << 20
 BLOCK = 1 << 20
@@ -101,8 +101,19 @@ def _headers(data: bytes, at: int) -> tuple[str, dict[str, str], int]:
     return first.decode("utf-8", "replace"), {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, v in pairs}, end + 4
 
 
+def _matches(digest: str | None, data: bytes) -> bool:
+    """Whether a digest header, if it is there and by SHA-1 (in base32 or hexadecimal), is that of `data`."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return True
+    return value.upper() == base32_sha1(data) or value.lower() == hashlib.sha1(data).hexdigest()
+
+
 def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """(WARC headers, HTTP headers, payload) of a record; raises WarcError unless framing and digests hold."""
+    """(WARC headers, HTTP headers, payload) of a record; raises WarcError unless framing and digests hold.
+
+    Digests are optional; those there are, by SHA-1, must match. A block of another content type than HTTP is the payload.
+    """
     version, head, at = _headers(data, 0)
     if not version.startswith("WARC/1."):
         raise WarcError(f"not a WARC record: {version[:20]}")
@@ -113,13 +124,13 @@ def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     block = data[at : at + length]
     if len(block) != length or data[at + length :] != BREAK * 2:
         raise WarcError("the block is not as long as it says")
-    if "warc-block-digest" in head and head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
+    if not _matches(head.get("warc-block-digest"), block):
         raise WarcError("block digest does not match")
     if not head.get("content-type", "").startswith("application/http"):
         return head, {}, block
     _, http, body = _headers(block, 0)
     payload = block[body:]
-    if head.get("warc-type") == "response" and head.get("warc-payload-digest", "") != f"sha1:{base32_sha1(payload)}":
+    if head.get("warc-type") == "response" and not _matches(head.get("warc-payload-digest"), payload):
         raise WarcError("payload digest does not match")
     return head, http, payload
 
@@ -131,7 +142,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int =
     smaller payloads are responses. A null html is an empty payload; a null url leaves the target out. A null page_id is
     written without a number, comes last, and is a response unless an equal payload with a page_id exists. Of rows that
     repeat a page_id and payload, each is written; those of the least page_id are all responses. An empty table gives an
-    empty manifest. Other columns are not written.
+    empty manifest. A payload is written whole, however long. Other columns are not written. Archives that a lost or repeated
+    task leaves are in no manifest and go with the folder.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
@@ -180,14 +192,30 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll: int =
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row a record of the archives that `manifest` (path) names: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload).
 
-    Of a revisit, payload is null, and its length and digest are those of the full payload.
+    Of a revisit, payload is null, and its length and digest are those of the full payload, as far as its headers tell them.
+    Records of other archives are read too: of any type (`record_type`), with or without digests (that of a payload at hand is
+    worked out), with ids that are no page numbers (page_id null). One gzip member may hold one record only. A record that is
+    not framed as it says fails the read. Rows that name an archive twice give its records twice; an empty manifest gives an
+    empty result. A record is held whole, however long.
     """
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
     types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
-    def number(uri: str) -> int | None:
-        inner = uri.strip("<>")
-        return int(inner.removeprefix("urn:page:")) if inner.startswith("urn:page:") else None
+    def number(uri: str | None) -> int | None:
+        inner = (uri or "").strip("<>").removeprefix("urn:page:")
+        return int(inner) if inner.lstrip("-").isdigit() and inner.isascii() else None
+
+    def whole(text: str | None) -> int | None:
+        return int(text) if text and text.isdigit() else None
+
+    def row(data: bytes) -> tuple:
+        head, http, payload = parsed(data)
+        kind = head.get("warc-type", "")
+        digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        again = number(head.get("warc-refers-to")) if kind == "revisit" else None
+        if kind == "revisit":
+            return number(head.get("warc-record-id")), head.get("warc-target-uri"), kind, whole(http.get("content-length")), digest, again, None
+        return number(head.get("warc-record-id")), head.get("warc-target-uri"), kind, len(payload), digest or base32_sha1(payload), None, payload
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*rows), types)], schema=types)
@@ -198,12 +226,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for name in b.column(0).to_pylist():
                 with open_shared(name, "rb") as file:
                     for data in members(file):
-                        head, http, payload = parsed(data)
-                        kind = head["warc-type"]
-                        size = len(payload) if kind == "response" else int(http["content-length"])
-                        refers = number(head["warc-refers-to"]) if kind == "revisit" else None
-                        rows.append((number(head["warc-record-id"]), head.get("warc-target-uri"), kind, size, head["warc-payload-digest"].removeprefix("sha1:"), refers, payload if kind == "response" else None))
-                        held += len(payload)
+                        rows.append(row(data))
+                        held += len(data)
                         if len(rows) >= 2000 or held > 4 << 20:
                             yield batch(rows)
                             rows, held = [], 0
@@ -217,7 +241,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     from ._shared import read_table
 
-    manifest = write_archives(read_table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    manifest = write_archives(read_table(spark, sf_dir, "pages"), temporary(shared_path(spark, "warc")))
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

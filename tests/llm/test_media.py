@@ -25,7 +25,8 @@ def test_round_trips(h, w, colour, seed):
 def test_netpbm_kinds():
     assert M.decode(b"P1\n# c\n3 2\n1 0 1\n0 1 0").tolist() == [[0, 255, 0], [255, 0, 255]]
     assert M.decode(b"P1 3 1 101").tolist() == [[0, 255, 0]]
-    assert M.decode(b"P2 2 1 #x\n 9\n 3 9").tolist() == [[3, 9]]
+    assert M.decode(b"P2 2 1 #x\n 9\n 3 9").tolist() == [[85, 255]]
+    assert M.decode(b"P5 3 1 100\n\x00\x32\x64").tolist() == [[0, 128, 255]]
     assert M.decode(b"P3 1 1 255 1 2 3").tolist() == [[[1, 2, 3]]]
     assert M.decode(b"P4 3 1\n\xa0").tolist() == [[0, 255, 0]]
     assert M.decode(b"P5 1 2 65535\n\x01\x02\x03\x04").tolist() == [[258], [772]]
@@ -44,12 +45,39 @@ def test_bmp_kinds():
     assert M.decode(bmp(32, [bytes([1, 2, 3, 9, 4, 5, 6, 9])], h=-1)).tolist() == [[[3, 2, 1], [6, 5, 4]]]
 
 
-@pytest.mark.parametrize("data", [b"", b"P7 1 1 255\n\0", b"P5 9 9 255\n\0", b"P5 x", b"P5 0 1 255\n", b"BM", b"BM" + b"\0" * 60, b"P2 2 2 255 1"])
+@pytest.mark.parametrize("data", [b"", b"P7 1 1 255\n\0", b"P5 9 9 255\n\0", b"P5 x", b"P5 0 1 255\n", b"BM", b"BM" + b"\0" * 60, b"P2 2 2 255 1", b"P2 2 1 255 1 x", b"P2 1 1 9 10", b"P4 9 2\n\0\0\0", b"P4 3 1"])
 def test_refusals(data):
     with pytest.raises(M.MediaError):
         M.decode(data)
 
 
+def test_bmp_masks_and_palettes():
+    def bmp(bits, packing, extra, rows, colours=0):
+        start = 54 + len(extra)
+        return struct.pack("<2sIHHI", b"BM", 0, 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, bits, packing, 0, 0, 0, colours, 0) + extra + rows
+
+    assert M.decode(bmp(32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000), bytes([1, 2, 3, 9]))).tolist() == [[[1, 2, 3]]]
+    assert M.decode(bmp(32, 3, struct.pack("<III", 0x3FF, 0xFFC00, 0x3FF00000), struct.pack("<I", 0x3FF))).tolist() == [[[255, 0, 0]]]
+    for bad in (bmp(32, 3, struct.pack("<III", 0, 1, 2), b"abcd"), bmp(8, 0, bytes(8), b"\5\0\0\0", 2), bmp(8, 0, bytes(8), b"\0\0\0\0", 1 << 30), bmp(24, 3, b"", b"abcd")):
+        with pytest.raises(M.MediaError):
+            M.decode(bad)
+
+
+IMAGES = [b"P1\n3 2\n1 0 1\n0 1 0", b"P2 2 1 9 3 9", b"P3 1 1 255 1 2 3", b"P4 3 1\n\xa0", b"P5 1 2 65535\n\1\2\3\4", b"P6 1 1 255\n\n\v\f", M.encode_bmp(np.zeros((3, 5), np.uint8)), M.encode_bmp(np.zeros((3, 5, 3), np.uint8))]
+
+
+@given(st.sampled_from(IMAGES), st.lists(st.tuples(st.integers(0, 120), st.integers(0, 255)), max_size=4), st.integers(0, 200))
+@settings(max_examples=600, deadline=None)
+def test_damaged_bytes_decode_or_are_refused(data, changes, length):
+    out = bytearray(data)
+    for at, x in changes:
+        out[at % len(out)] = x
+    try:
+        assert M.decode(bytes(out[:length])).size > 0
+    except M.MediaError:
+        pass
+
+
 @given(st.integers(1, 20), st.integers(1, 20), st.integers(1, 12), st.integers(1, 12))
 @settings(max_examples=80, deadline=None)
 def test_area_means(h, w, a, b):

@@ -87,3 +87,40 @@ def test_verification():
     wrong = good.replace(W.base32_sha1(b"hello").encode(), W.base32_sha1(b"other").encode())
     with pytest.raises(W.WarcError):
         W.parsed(wrong)
+
+
+def foreign(kind, block, **headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0f0f>", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+    return W.member("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Records without digests or page numbers, of all types, and with digests of other kinds."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    app = {"Content_Type": "application/http; msgtype=response"}
+    records = [
+        foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        foreign("response", http, **app),
+        foreign("response", http, WARC_Payload_Digest="sha256:abc", **app),
+        foreign("response", http, WARC_Payload_Digest="sha1:" + hashlib.sha1(b"hello").hexdigest(), **app),
+        foreign("revisit", b"", WARC_Refers_To="<urn:uuid:0f0f>"),
+        foreign("metadata", b"a: b", Content_Type="text/plain"),
+    ]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(records))
+    out = W.read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+    assert [r.record_type for r in out] == ["warcinfo", "request", "response", "response", "response", "revisit", "metadata"]
+    assert [r.payload for r in out if r.record_type == "response"] == [b"hello"] * 3
+    assert out[2].payload_digest == W.base32_sha1(b"hello")
+    assert {(r.page_id, r.refers_to) for r in out} == {(None, None)}
+    with pytest.raises(W.WarcError):
+        W.parsed(next(W.members(io.BytesIO(foreign("response", http, WARC_Payload_Digest="sha1:AAAA", **app)))))
+
+
+def test_long_payload_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "u", "é" * 3_000_000, "x", 5), (2, None, "é" * 3_000_000, "y", 6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string, size int")
+    manifest = W.write_archives(df, f"file://{tmp_path}/w")
+    out = sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in W.read_archives(manifest).collect())
+    assert out == [(1, "response", 6_000_000, None), (2, "revisit", 6_000_000, 1)]
