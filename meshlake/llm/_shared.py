@@ -81,6 +81,12 @@ def _delete_all() -> None:
             _delete(spark, path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a `temporary` path before the end."""
+    _made.remove(path)
+    _delete(spark, path)
+
+
 @contextlib.contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Delete, at its end, the tables that were kept inside; results that need them must have been written by then."""

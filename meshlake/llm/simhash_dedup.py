@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     """
     rows = kept(fingerprints(docs, shingle, seed), "fingerprints")
     fps = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    star = components(links(fps.select("fp"), fps.count(), radius, cap))
+    star = components(kept(links(fps.select("fp"), fps.count(), radius, cap), "links"))
     rooted = fps.join(star, fps["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
