@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshlake.llm import decontaminate, language_id, line_dedup, mixing, simhash_dedup
-from meshlake.llm._shared import read_table, released, shared_path
+from meshlake.llm._shared import dropped, read_table, released, shared_path, temporary
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over `documents`; each one's rows are written as Parquet and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages in order over `documents`; each one's rows are written as Parquet and read again.
+
+    A stage's table is deleted once the next one is written, the last one at the end of the program.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = shared_path(spark, f"stage-{name}")
+        path = temporary(shared_path(spark, f"stage-{name}"))
         with released(spark):
             out = stage(spark, docs, sf_dir)
             out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            dropped(spark, before)
+        before = path
     return docs
