@@ -510,7 +510,7 @@ def _grouped(docs: DataFrame, radius: int, cap: int, part: int) -> DataFrame:
     fps = kept(rows.groupBy("id", *words).agg(F.min(F.struct("doc_id", "key")).alias("row")), "distinct")
     star = components(kept(wide_links(fps, radius, cap).distinct(), "links"))
     named = kept(fps.withColumn("own", F.col("id")).join(star, F.col("id") == F.col("node"), "left").select("own", "row", F.coalesce("root", "id").alias("id")), "named")
-    many = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("root"))
+    many = kept(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("root")), "groups")  # a join of tables, which is split where it is skewed
     members = named.join(many, named["id"] == many["root"]).select("root", F.col("own").alias("id"), "row.*")
     star = similar_groups(kept(_shingled(members, docs), "shingles"), part)
     star = star.select(F.col("node").alias("id"), "root")
