@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import kept
+
 UND = "und"
 NGRAMS = (2, 3, 4)
 #: Bounds of the training sample: rows, and bytes of a text that may be in it.
@@ -208,12 +210,13 @@ def held_out(folds: int = 5, fold: int = 0) -> Column:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, seed: int = 11) -> tuple[list[bytes], list[str]]:
     """At most about `rows` texts with a language, none longer than `size` bytes or held out, by a hash of doc_id; as many of each language as there are, up to an equal share."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.where(F.octet_length("text") <= size).select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("binary").alias("t"), F.col("lang").cast("string").alias("l"))
-    counts = known.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("n"))
+    known = known.select(F.col("doc_id").cast("bigint").alias("d"), "text", F.col("lang").cast("string").alias("l"))
+    counts = kept(known.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("n")), "languages")  # its size is known then: texts don't move to meet it
     share = max(1, rows // max(1, counts.count()))
     met = known.join(counts, F.col("l") == F.col("of"))
     picked = met.where(F.pmod(F.xxhash64("d", F.lit(seed)), F.lit(1 << 30)) < F.lit(share) / F.col("n") * (1 << 30))
-    got = sorted((r["d"], bytes(r["t"]), r["l"]) for r in picked.select("d", "t", "l").limit(2 * rows).collect())
+    picked = picked.where(F.octet_length("text") <= size).select("d", F.col("text").cast("binary").alias("t"), "l")
+    got = sorted((r["d"], bytes(r["t"]), r["l"]) for r in picked.limit(2 * rows).collect())
     return [t for _, t, _ in got], [lang for _, _, lang in got]
 
 
