@@ -1,11 +1,9 @@
-"""Lossy rounding of floats to a number of significant digits or bits, so that they compress better."""
+"""Lossy rounding of floats to a number of significant digits or bits, so that they compress better; by arithmetic on columns."""
 
 from __future__ import annotations
 
 from math import ceil, log2
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,39 +12,31 @@ from ..errors import Code, require
 MODES = ("bitgroom", "granular_bitround", "bitround")
 
 
-def keep_bits(values: np.ndarray, keep: int | np.ndarray, how: str) -> np.ndarray:
-    """`values` with only `keep` mantissa bits: rounded half to even, or for "groom" shaved and set in turn."""
-    bits = 23 if values.dtype == np.float32 else 52
-    form = np.uint32 if bits == 23 else np.uint64
-    drop = np.clip(bits - np.asarray(keep), 0, bits).astype(form)
-    raw = values.view(form)
-    one = form(1)
-    mask = ~((one << drop) - one)
-    if how == "groom":
-        turn = (np.arange(len(values)) % 2).astype(bool)
-        out = np.where(turn & (values != 0), raw | ~mask, raw & mask)
+def quantized(column: str | Column, mode: str, digits: int, double: bool = True, place: str | Column = "goff") -> Column:
+    """`column` rounded by `mode`: `digits` significant decimals, or bits of the mantissa for "bitround".
+
+    The rounding modes go to the nearest multiple of a power of two, halves to even. "bitgroom" clears the bits left out where
+    `place` is even and sets them where it is odd, so the result depends on the element and not on how rows are dealt. Nulls,
+    zeros, infinite values, and those so small that the bits left out are below the least normal number, stay.
+    """
+    bits = 52 if double else 23
+    require(mode in MODES and 0 < digits <= (bits if mode == "bitround" else (15 if double else 7)), Code.EINVAL, "quantize")
+    v = (F.col(column) if isinstance(column, str) else column).cast("double")
+    size = F.abs(v)
+    usable = v.isNotNull() & ~F.isnan(v) & (size > F.lit(1e-290 if double else 1e-30)) & (size < F.lit(float("inf")))
+    safe = F.when(usable, size).otherwise(1.0)
+    near = F.floor(F.log2(safe))
+    power = near + F.when(safe >= F.pow(F.lit(2.0), near + 1), 1).when(safe < F.pow(F.lit(2.0), near), -1).otherwise(0)
+    if mode == "granular_bitround":
+        unit = F.floor(F.log10(safe)) + 1 - digits  # the last significant decimal place
+        keep = F.least(F.greatest(F.ceil(power - unit * log2(10)), F.lit(0)), F.lit(bits))
     else:
-        half = np.where(drop > 0, (one << np.maximum(drop, one) - one) - one, form(0))
-        out = (raw + half + np.where(drop > 0, (raw >> drop) & one, form(0))) & mask
-    return np.where(np.isfinite(values), out.astype(form).view(values.dtype), values)
-
-
-def quantized(column: str | Column, mode: str, digits: int, double: bool = True) -> Column:
-    """`column` rounded by `mode`: `digits` significant decimals, or bits for "bitround". Nulls and infinite values stay."""
-    require(mode in MODES and 0 < digits <= ((52 if double else 23) if mode == "bitround" else (15 if double else 7)), Code.EINVAL, "quantize")
-
-    @F.pandas_udf("double" if double else "float")
-    def run(s: pd.Series) -> pd.Series:
-        v = s.to_numpy(np.float64 if double else np.float32, na_value=np.nan).copy()
-        if mode == "bitround":
-            out = keep_bits(v, digits, "round")
-        elif mode == "bitgroom":
-            out = keep_bits(v, ceil(digits * log2(10)) + 1, "groom")
-        else:
-            size = np.where(np.isfinite(v) & (v != 0), np.abs(v), 1.0)
-            unit = np.floor(np.log10(size)) + 1 - digits  # the last significant decimal place
-            need = np.maximum(0, np.ceil(np.frexp(size)[1] - 1 - unit * log2(10)))
-            out = keep_bits(v, need.astype(np.int64), "round")
-        return pd.Series(out).where(s.notna().to_numpy(), None)
-
-    return run(column)
+        keep = F.lit(min(bits, digits if mode == "bitround" else ceil(digits * log2(10)) + 1))
+    step = F.pow(F.lit(2.0), power - keep)
+    if mode == "bitgroom":
+        odd = F.pmod(F.col(place) if isinstance(place, str) else place, F.lit(2)) == 1
+        low = F.floor(safe / step) * step
+        out = F.signum(v) * F.when(odd & (keep < bits), low + (step - F.pow(F.lit(2.0), power - bits))).otherwise(low)
+    else:
+        out = F.rint(v / step) * step
+    return F.when(usable, out).otherwise(v).cast("double" if double else "float")

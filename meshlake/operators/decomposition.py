@@ -25,6 +25,8 @@ class Decomposition:
     type: str = "double"
     rearranger: str = BOX
     readonly: bool = False
+    #: (least offset, greatest, how many, whether any repeats) where a constructor knows them; else worked out once, when asked for.
+    known: tuple[int | None, int | None, int, bool] | None = None
 
     def __post_init__(self):
         grid_type(self.type)
@@ -54,13 +56,13 @@ class Decomposition:
         total, n = prod(dims), session.num_compute
         each = -(-total // n)
         df = session.spark.range(total).select(F.floor(F.col("id") / each).cast("int").alias("task"), (F.col("id") % each).alias("k"), F.col("id").alias("goff"))
-        return cls(df, tuple(dims), **rest)
+        return cls(df, tuple(dims), known=(0, total - 1, total, False), **rest)
 
     @classmethod
     def round_robin(cls, session: GridSession, dims: Sequence[int], **rest) -> Decomposition:
         n = session.num_compute
         df = session.spark.range(prod(dims)).select((F.col("id") % n).cast("int").alias("task"), F.floor(F.col("id") / n).cast("bigint").alias("k"), F.col("id").alias("goff"))
-        return cls(df, tuple(dims), **rest)
+        return cls(df, tuple(dims), known=(0, prod(dims) - 1, prod(dims), False), **rest)
 
     @classmethod
     def boxes(cls, spark: SparkSession, boxes: Sequence[tuple[Sequence[int], Sequence[int]]], dims: Sequence[int], **rest) -> Decomposition:
@@ -95,6 +97,14 @@ class Decomposition:
 
     # Facts about a map: all are single aggregates or windows by rank
 
+    def facts(self) -> tuple[int | None, int | None, int, bool]:
+        """(least offset, greatest, how many, whether any repeats), from one pass over the map."""
+        if self.known is None:
+            each = self.map.where("goff IS NOT NULL").groupBy("goff").agg(F.count("*").alias("n"))
+            least, greatest, n, most = each.agg(F.min("goff"), F.max("goff"), F.sum("n"), F.max("n")).first()
+            self.known = (least, greatest, n or 0, (most or 0) > 1)
+        return self.known
+
     @property
     def size(self) -> int:
         return prod(self.dims)
@@ -120,7 +130,7 @@ class Decomposition:
         return self.map.where("goff IS NOT NULL").groupBy("goff").agg(F.count("*").alias("n")).where("n > 1")
 
     def has_duplicates(self) -> bool:
-        return not self.duplicates().isEmpty()
+        return self.facts()[3]
 
     def summary(self) -> DataFrame:
         """One row: least and greatest offset, how many, whether that many can't be distinct, whether the array has holes."""
@@ -129,15 +139,15 @@ class Decomposition:
         )
 
     def needs_fill(self) -> bool:
-        return self.map.agg(F.count("goff")).first()[0] < self.size
+        return self.facts()[2] < self.size
 
     def check(self, writing: bool = False) -> None:
         """Raise unless offsets are in bounds and, for writing, distinct."""
-        low, high = self.map.agg(F.min("goff"), F.max("goff")).first()
+        low, high, _, repeats = self.facts()
         require(low is None or (low >= 0 and high < self.size), Code.EINVAL, "an offset is outside the array")
         if writing:
             require(not self.readonly, Code.EINVAL, "the decomposition is read-only")
-            require(not self.has_duplicates(), Code.EINVAL, "two elements have one destination")
+            require(not repeats, Code.EINVAL, "two elements have one destination")
 
     def halo(self, reach: int = 1) -> Decomposition:
         """Each element with its neighbours up to `reach` offsets away; a read-only map, with holes beyond the array's ends."""

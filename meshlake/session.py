@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import logging
+import re
+import shutil
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -136,17 +141,17 @@ def set_log_level(level: int) -> None:
     log.setLevel({0: logging.CRITICAL, 1: logging.ERROR, 2: logging.WARNING, 3: logging.INFO}.get(max(0, level), logging.DEBUG))
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share: `spark.checkpoint.dir`; a local session gets a temporary one where it is unset."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
+#: The folder of local sessions that have set none.
+_local: list[str] = []
+
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share: `spark.checkpoint.dir`; a session in one process gets a temporary one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        require(spark.sparkContext.master.startswith("local"), Code.EINVAL, "set spark.checkpoint.dir to a shared folder")
-        root = f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+        require(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None, Code.EINVAL, "set spark.checkpoint.dir to a shared folder")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="meshlake-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        root = f"file://{_local[0]}"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

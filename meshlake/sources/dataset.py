@@ -7,6 +7,7 @@ together at sync or close, with one exchange for all variables.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from math import prod
@@ -27,7 +28,7 @@ from . import files
 class Dataset:
     def __init__(self, session: GridSession, path: str, catalog: Catalog, writable: bool):
         self.session, self.path, self.catalog, self.writable = session, path.rstrip("/"), catalog, writable
-        self.queue: dict[tuple[int, int], list[tuple]] = {}
+        self.queue: dict[tuple[int, int], list[tuple[Decomposition, DataFrame, list[tuple]]]] = {}
         self.pool, self.pending = ThreadPoolExecutor(1), []
         self.open_ = True
 
@@ -111,16 +112,24 @@ class Dataset:
         df = spark.read.schema(f"goff bigint, value {kind}, rec int").parquet(self._folder(varid))
         return df if rec is None else df.where(F.col("rec") == rec)
 
-    def _store(self, varid: int | str, df: DataFrame) -> None:
-        """Replace the records that `df` (rec, goff, value) holds."""
+    def _store(self, varid: int | str, df: DataFrame, ordered: bool = False) -> None:
+        """Replace the records that `df` (rec, goff, value) holds; each file is in order of offset. `ordered`: the rows are so already."""
         v = self.catalog.var(varid)
         mode, digits = v.storage.get("quantize", ("none", 0))
         if mode != "none":
             df = df.withColumn("value", quantized("value", mode, digits, v.type == "double"))
+        if not ordered:
+            df = df.repartitionByRange(max(1, self.session.num_io), "rec", "goff").sortWithinPartitions("rec", "goff")
         out = df.select("goff", F.col("value").cast(grid_type(v.type).spark).alias("value"), "rec").write.mode("overwrite").partitionBy("rec")
         out.option("partitionOverwriteMode", "dynamic").option("compression", self.catalog.codec(varid)).parquet(self._folder(varid))
         v.written = True
 
+    def _fill_grid(self, varid: int | str, recs: Sequence[int], size: int, fill=None) -> DataFrame:
+        """(rec, goff, value) of whole records of fill."""
+        kind = grid_type(self.catalog.var(varid).type)
+        rec = F.element_at(F.array(*map(F.lit, recs)), (F.floor(F.col("id") / size) + 1).cast("int")) if recs else F.lit(0)
+        return self.session.spark.range(size * len(recs)).select(rec.cast("int").alias("rec"), (F.col("id") % size).alias("goff"), fill_literal(kind, fill).alias("value"))
+
     # Records
 
     def num_records(self, varid: int | str | None = None) -> int:
@@ -146,53 +155,85 @@ class Dataset:
 
     def write_darray(self, varid: int | str, decomposition: Decomposition, df: DataFrame, fill=None, rec: int | None = None) -> None:
         """Queue `df` (task, k, value) for a variable's record; it is stored at sync or close, and replaces the record."""
-        self._live()
-        require(self.writable, Code.EPERM)
-        require(not decomposition.readonly, Code.EINVAL, "the decomposition is read-only")
-        v = self.catalog.var(varid)
-        require(decomposition.size == prod(self.catalog.shape(varid)), Code.EINVAL, "the decomposition has another size than the variable")
-        use, own = self.catalog.var_fill(varid)
-        require(fill is None or not use or fill == own, Code.EINVAL, "another fill value than the variable's")
-        maplen_checked(df, decomposition)
-        key = (id(decomposition), int(self.catalog.is_record(varid)))
-        self.queue.setdefault(key, []).append((v.name, decomposition, df, own if fill is None else fill, self._record(varid, rec), use))
+        self._queue([(varid, "value", fill, rec)], decomposition, df)
 
     def write_darray_multi(self, varids: Sequence[int | str], decomposition: Decomposition, df: DataFrame, fills: Sequence | None = None, recs: Sequence[int] | None = None, flush: bool = False) -> None:
         """Write `df` (task, k, and one column for each variable, by name)."""
         require(len({len(self.catalog.var(v).dims) for v in varids}) == 1, Code.EVARDIMMISMATCH)
-        for i, v in enumerate(varids):
-            name = self.catalog.var(v).name
-            self.write_darray(v, decomposition, df.select("task", "k", F.col(name).alias("value")), fills[i] if fills else None, recs[i] if recs else None)
+        self._queue([(v, self.catalog.var(v).name, fills[i] if fills else None, recs[i] if recs else None) for i, v in enumerate(varids)], decomposition, df)
         if flush:
             self.sync()
 
+    def _queue(self, columns: Sequence[tuple], decomposition: Decomposition, df: DataFrame) -> None:
+        self._live()
+        require(self.writable, Code.EPERM)
+        require(not decomposition.readonly, Code.EINVAL, "the decomposition is read-only")
+        made = []
+        for varid, column, fill, rec in columns:
+            v = self.catalog.var(varid)
+            require(decomposition.size == prod(self.catalog.shape(varid)), Code.EINVAL, "the decomposition has another size than the variable")
+            use, own = self.catalog.var_fill(varid)
+            require(fill is None or not use or fill == own, Code.EINVAL, "another fill value than the variable's")
+            made.append((v.name, column, own if fill is None else fill, self._record(varid, rec), use))
+        maplen_checked(df, decomposition)
+        key = (id(decomposition), int(self.catalog.is_record(columns[0][0])))
+        self.queue.setdefault(key, []).append((decomposition, df, made))
+
     def sync(self) -> None:
-        """Store what is queued: the values of one decomposition meet its map once and move once."""
+        """Store what is queued. The frames of one decomposition meet its map and move together, each frame joined once, whatever variables it holds."""
         self._live()
         require(self.writable, Code.EPERM)
         queue, self.queue = self.queue, {}
         for group in queue.values():
-            decomposition = group[0][1]
+            decomposition = group[0][0]
             decomposition.check(writing=True)
             moved = rearrange.assigned(self.session, decomposition).where("goff IS NOT NULL").select("task", "k", "goff", "io")
-            for i, (_, _, df, _, _, _) in enumerate(group):
-                of = df.select("task", "k", F.col("value").alias(f"v{i}"))
-                moved = moved.join(of, ["task", "k"])
+            for i, (_, df, made) in enumerate(group):
+                moved = moved.join(df.select("task", "k", *[F.col(column).alias(f"v{i}_{j}") for j, (_, column, *_) in enumerate(made)]), ["task", "k"])
             moved = rearrange.to_io(moved, self.session.num_io)
             holes = decomposition.needs_fill()
-            again = len(group) > 1 or holes
+            again = len(group) > 1 or len(group[0][2]) > 1 or holes
             moved = moved.persist() if again else moved
-            for i, (name, _, _, fill, rec, use) in enumerate(group):
-                value = moved.select("goff", F.col(f"v{i}").alias("value"))
-                if holes and use:
-                    t = grid_type(self.catalog.var(name).type)
-                    value = value.unionByName(rearrange.hole_grid(value, decomposition.size).select("goff", fill_literal(t, fill).alias("value")))
-                self._store(name, value.withColumn("rec", F.lit(rec)))
+            for i, (_, _, made) in enumerate(group):
+                for j, (name, _, fill, rec, use) in enumerate(made):
+                    value, filled = moved.select("goff", F.col(f"v{i}_{j}").alias("value")), holes and use
+                    if filled:
+                        t = grid_type(self.catalog.var(name).type)
+                        value = value.unionByName(rearrange.hole_grid(value, decomposition.size).select("goff", fill_literal(t, fill).alias("value")))
+                    self._store(name, value.withColumn("rec", F.lit(rec)), ordered=not filled)
             if again:
                 moved.unpersist()
         self.catalog.defining = False
         self._save()
 
+    def write_frames(self, varid: int | str, decomposition: Decomposition, df: DataFrame) -> None:
+        """Write many records at once: `df` (rec, task, k, value) of one map. What a record lacks is filled; records that `df` holds are replaced."""
+        self._live()
+        require(self.writable, Code.EPERM)
+        require(self.catalog.is_record(varid), Code.EINVAL, "not a record variable")
+        require(decomposition.size == prod(self.catalog.shape(varid)), Code.EINVAL, "the decomposition has another size than the variable")
+        decomposition.check(writing=True)
+        recs = sorted(r[0] for r in df.select("rec").distinct().collect())  # one number a record
+        require(not recs or recs[0] >= 0, Code.EINVAL, "frame")
+        moved = df.select(F.col("rec").cast("int").alias("rec"), "task", "k", "value").join(decomposition.map.where("goff IS NOT NULL"), ["task", "k"]).select("rec", "goff", "value")
+        use, fill = self.catalog.var_fill(varid)
+        if use:
+            moved = moved.persist()
+            value = F.col("value").cast(grid_type(self.catalog.var(varid).type).spark).alias("value")
+            moved_all = moved.select("rec", "goff", value).unionByName(self._fill_grid(varid, recs, decomposition.size, fill).join(moved.select("rec", "goff"), ["rec", "goff"], "left_anti"))
+            self._store(varid, moved_all)
+            moved.unpersist()
+        else:
+            self._store(varid, moved)
+        self.catalog.defining = False
+        self._save()
+
+    def read_frames(self, varid: int | str, decomposition: Decomposition) -> DataFrame:
+        """(rec, task, k, value) of all records by a map without holes, in one join."""
+        self._live()
+        require(decomposition.size == prod(self.catalog.shape(varid)), Code.EINVAL, "the decomposition has another size than the variable")
+        return self.table(varid).join(decomposition.map, "goff").select("rec", "task", "k", "value")
+
     def sync_later(self) -> Future:
         """Store what is queued in the background, so that the caller goes on computing; close waits for it."""
         self._live()
@@ -258,14 +299,15 @@ class Dataset:
         place = F.col("k").cast("bigint")
         new = df.select((F.floor(place / each) * t + s).cast("int").alias("rec"), slices.slab_offsets(place % each, shape, *inner).alias("goff"), value.cast(grid_type(v.type).spark).alias("value"))
         recs = [r[0] for r in new.select("rec").distinct().collect()]  # as many as the slab has records
-        old = self.table(varid).where(F.col("rec").isin(recs))
+        old = self.table(varid).where(F.col("rec").isin(recs)).select("rec", "goff", "value")
         use, fill = self.catalog.var_fill(varid)
-        if use and old.isEmpty():
-            grid = self.session.spark.range(prod(shape)).select(F.explode(F.array(*map(F.lit, recs))).alias("rec"), F.col("id").alias("goff"), fill_literal(grid_type(v.type), fill).alias("value"))
-            old = grid
-        merged = slices.upserted(old.select("rec", "goff", "value"), new, ("rec", "goff"))
-        stage = f"{self.path}/stage"  # a table can't be replaced by what is read from it
-        merged.write.mode("overwrite").parquet(stage)
+        if use:
+            there = {r[0] for r in old.select("rec").distinct().collect()}
+            fresh = [r for r in recs if r not in there]
+            old = old.unionByName(self._fill_grid(varid, fresh, prod(shape), fill)) if fresh else old
+        merged = slices.upserted(old, new, ("rec", "goff"))
+        stage = f"{self.path}/stage-{uuid.uuid4().hex}"  # a table can't be replaced by what is read from it
+        merged.write.parquet(stage)
         self._store(varid, self.session.spark.read.parquet(stage))
         files.delete(self.session.spark, stage)
         self._save()

@@ -287,3 +287,60 @@ def test_session(spark):
     with pytest.raises(GridError):
         RearrangerOptions("carrier pigeon")
     assert len(GridSession.with_components(spark, 1, [3, 2])) == 2
+
+
+def test_slab_over_an_old_and_a_new_record_fills_the_new_one(spark):
+    from meshlake.session import scratch_path
+
+    ds = Dataset.create(GridSession(spark, 4, 2), scratch_path(spark, "grid"))
+    ds.def_var("v", "int", [ds.def_dim("t", UNLIMITED), ds.def_dim("x", 4)])
+    ds.def_var_fill("v", True, -9)
+    ds.enddef()
+    ds.put_vara("v", [0, 0], [1, 4], spark.range(4).select(F.col("id").alias("k"), F.col("id").cast("int").alias("value")))
+    ds.put_vara("v", [0, 1], [3, 2], spark.range(6).select(F.col("id").alias("k"), (F.col("id") + 10).cast("int").alias("value")))
+    got = {(r.rec, r.goff): r.value for r in ds.get_var("v").collect()}
+    assert got == {
+        (0, 0): 0, (0, 1): 10, (0, 2): 11, (0, 3): 3,
+        (1, 0): -9, (1, 1): 12, (1, 2): 13, (1, 3): -9,
+        (2, 0): -9, (2, 1): 14, (2, 2): 15, (2, 3): -9,
+    }
+
+
+def test_frames_at_once(spark):
+    from meshlake.session import scratch_path
+
+    session = GridSession(spark, 4, 2)
+    ds = Dataset.create(session, scratch_path(spark, "grid"))
+    ds.def_var("v", "int", [ds.def_dim("t", UNLIMITED), ds.def_dim("x", 6)])
+    ds.def_var_fill("v", True, -1)
+    ds.enddef()
+    d = Decomposition.block(session, (6,))
+    frames = d.map.where("goff <> 5").select(F.explode(F.array(F.lit(0), F.lit(3))).alias("rec"), "task", "k", F.col("goff").cast("int").alias("value"))
+    ds.write_frames("v", d, frames)
+    assert ds.num_records("v") == 4
+    assert sorted((r.rec, r.goff, r.value) for r in ds.table("v").collect()) == [(r, g, g if g < 5 else -1) for r in (0, 3) for g in range(6)]
+    assert ds.read_frames("v", d).count() == 12
+    ds.write_frames("v", d, frames.where("rec = 3").withColumn("value", F.lit(7)))
+    assert {(r.rec, r.value) for r in ds.table("v").where("goff = 0").collect()} == {(0, 0), (3, 7)}
+
+
+def test_facts_are_worked_out_once(spark):
+    session = GridSession(spark, 4, 2)
+    assert Decomposition.block(session, (7, 3)).known == (0, 20, 21, False)
+    d = Decomposition.from_lists(spark, [[0, 4], [4, -1]], [6])
+    assert d.facts() == (0, 4, 3, True)
+    assert d.has_duplicates() and d.needs_fill()
+
+
+def test_files_are_in_order_of_offset_after_a_put(spark):
+    from meshlake.session import scratch_path
+
+    session = GridSession(spark, 4, 2)
+    ds = Dataset.create(session, scratch_path(spark, "grid"))
+    ds.def_var("v", "double", [ds.def_dim("x", 1000)])
+    ds.enddef()
+    ds.put_vara("v", [100], [300], spark.range(300).select(F.col("id").alias("k"), F.rand(1).alias("value")))
+    rows = ds.table("v").select("goff", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
+    for f in {r.f for r in rows}:
+        own = [r.goff for r in rows if r.f == f]
+        assert own == sorted(own)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from meshlake.errors import Code, GridError, strerror
 from meshlake.functions.layout import box_split, gcd_block, io_ranks, one_dim, piece_of, regions
-from meshlake.functions.quantize import keep_bits
+from meshlake.functions.quantize import quantized
 from meshlake.operators.rearrange import assign_boxes
 
 
@@ -93,15 +93,33 @@ def test_codes():
     assert "Unknown" in strerror(-9999)
 
 
-def test_keep_bits():
-    x = np.array([1.0, 1 / 3, -7.77, 0.0, np.inf, 12345.678])
-    for keep in (4, 10, 52):
-        y = keep_bits(x, keep, "round")
-        ok = np.isfinite(x) & (x != 0)
-        assert (np.abs(y[ok] - x[ok]) <= np.abs(x[ok]) * 2.0 ** -(keep + 1) * 1.01).all()
-        assert y[3] == 0
-        assert np.isinf(y[4])
-    assert (keep_bits(x[:3], 52, "groom") == x[:3]).all()
+def bits_kept(x, keep, how, place):
+    """The mantissa with `keep` bits, by its bits: rounded half to even, or cleared and set in turn."""
+    bits, form = (23, np.uint32) if x.dtype == np.float32 else (52, np.uint64)
+    raw, drop = x.view(form), form(bits - keep)
+    mask = ~((form(1) << drop) - form(1)) if drop else ~form(0)
+    if how == "groom":
+        out = np.where((place % 2 == 1) & (x != 0), raw | ~mask, raw & mask)
+    else:
+        out = (raw + (form(1) << drop - form(1)) - form(1) + ((raw >> drop) & form(1))) & mask if drop else raw
+    return np.where(np.isfinite(x), out.astype(form).view(x.dtype), x)
+
+
+@pytest.mark.parametrize("double", [True, False])
+def test_quantized_is_rounding_of_bits(spark, double):
+    from math import ceil, log2
+
+    kind = np.float64 if double else np.float32
+    rng = np.random.default_rng(2)
+    x = np.concatenate([[1.0, 1 / 3, -7.77, 0.0, np.inf, -np.inf, 12345.678, 2.0, 4.0, 0.5, 1.5, 2.5, 1023.9999, -1024.0], rng.normal(0, 1, 300) * 10.0 ** rng.integers(-12, 12, 300)]).astype(kind)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(len(x), None)], f"goff bigint, v {'double' if double else 'float'}")
+    keeps = {"bitround": 9, "bitgroom": ceil(3 * log2(10)) + 1}
+    out = df.repartition(5).select("goff", quantized("v", "bitround", 9, double).alias("r"), quantized("v", "bitgroom", 3, double).alias("g")).orderBy("goff").collect()
+    place = np.arange(len(x))
+    assert out[-1].r is None and out[-1].g is None
+    assert (np.array([r.r for r in out[:-1]], kind) == bits_kept(x, keeps["bitround"], "round", place)).all()
+    assert (np.array([r.g for r in out[:-1]], kind) == bits_kept(x, keeps["bitgroom"], "groom", place)).all()
+
 
 
 @given(st.integers(1, 60), st.integers(1, 9))
