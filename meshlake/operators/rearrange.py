@@ -125,6 +125,25 @@ def runs_1d(df: DataFrame, by: Sequence[str] = (), goff: str = "goff") -> DataFr
     return part.where(~(first | last)).select(*by, "start", "count").unionByName(merged.select(*by, "start", "count"))
 
 
+def block_length(df: DataFrame, size: int, goff: str = "goff") -> DataFrame:
+    """(block): the largest length of blocks in which offsets below `size` come, the common divisor of run lengths, gaps and the first offset.
+
+    Distinct lengths are fewer than the square root of 2 * size, so their list is small.
+    """
+    own, holes = runs_1d(df, goff=goff), runs_1d(hole_grid(df, size, goff=goff))
+    ends = own.agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("count")).alias("last"))
+    gaps = holes.join(F.broadcast(ends), (F.col("start") > F.col("first")) & (F.col("start") < F.col("last"))).select("count")
+    lengths = own.select("count").unionByName(gaps).unionByName(ends.select(F.col("first").alias("count"))).where("count > 0").agg(F.collect_set("count").alias("x"))
+    step = lambda a, b: F.struct(b.alias("a"), (a % b).alias("b"))
+
+    def gcd(a, b):
+        """Euclid's steps; numbers below 2**63 need fewer than 92."""
+        pair = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), lambda p, _: F.when(p["b"] == 0, p).otherwise(step(p["a"], F.greatest(p["b"], F.lit(1).cast("bigint")))))
+        return pair["a"]
+
+    return lengths.select(F.greatest(F.aggregate("x", F.lit(0).cast("bigint"), gcd), F.lit(1).cast("bigint")).alias("block"))
+
+
 def nd_regions(df: DataFrame, dims: Sequence[int]) -> DataFrame:
     """(io, region, loffset, start, count): boxes that cover each I/O rank's offsets (io, goff) in order."""
     shape = list(dims)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import GLOBAL, UNLIMITED
-from ..errors import _CODES
-from ..functions.layout import box_split, coordinates, gcd_block, offset
+from ..errors import _CODES, Code, GridError, strerror
+from ..functions.layout import box_split, coordinates, offset
 from ..functions.quantize import quantized
 from ..operators import rearrange, slices
 from ..operators.decomposition import Decomposition, sorted_copy
@@ -21,7 +21,7 @@ from ..session import SUBSET, GridSession, scratch_path
 from ..sources import decomp_files
 from ..sources.dataset import Dataset
 from ..sources.features import Features
-from ..types import TYPES, converted, grid_type
+from ..types import TYPES, grid_type
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,13 +191,21 @@ def regions_1d(spark, sf_dir):
     return rearrange.runs_1d(_order_map(spark, sf_dir).map)
 
 
-@query(f"{N} SELECT CAST(i // 100 // ((n // 100 + 1) // 2) AS INTEGER) AS io, 0 AS region, 0::BIGINT AS loffset, min(i // 100) AS first_row, count(DISTINCT i // 100) AS n_rows FROM g WHERE (n // 100) % 2 = 0 GROUP BY 1")
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM events), r AS (SELECT n, (n + 2) // 3 AS each, unnest(range(3)) AS io FROM n), b AS (SELECT io, io * each AS a, least(n, (io + 1) * each) AS e FROM r),
+    c AS (SELECT *, CASE WHEN a % 100 = 0 THEN a ELSE least(e, (a // 100 + 1) * 100) END AS m FROM b), d AS (SELECT *, greatest(m, e // 100 * 100) AS t FROM c),
+    p AS (SELECT io, a, a AS f, m AS u FROM d UNION ALL SELECT io, a, m, t FROM d UNION ALL SELECT io, a, t, e FROM d)
+    SELECT CAST(io AS INTEGER) AS io, CAST(row_number() OVER (PARTITION BY io ORDER BY f) - 1 AS INTEGER) AS region, f - a AS loffset, f // 100 AS first_row, f % 100 AS first_column,
+    greatest(1, (u - f) // 100) AS n_rows, least(100, u - f) AS n_columns FROM p WHERE u > f"""
+)
 def regions_nd(spark, sf_dir):
+    """Three ranks whose ranges begin and end inside rows: up to three boxes each."""
     shape = _shape(spark, sf_dir)
-    session = _session(spark, num_compute=2)
+    session = _session(spark, num_compute=3, num_io=3)
     d = Decomposition.block(session, shape, rearranger=SUBSET)
     found = rearrange.nd_regions(rearrange.assigned(session, d), shape)
-    return found.select("io", "region", "loffset", F.col("start")[0].alias("first_row"), F.col("count")[0].alias("n_rows"))
+    start, count = F.col("start"), F.col("count")
+    return found.select("io", "region", "loffset", start[0].alias("first_row"), start[1].alias("first_column"), count[0].alias("n_rows"), count[1].alias("n_columns"))
 
 
 def _boxes(spark, sf_dir, num_io: int = 4):
@@ -326,6 +334,18 @@ def put_vara_upsert(spark, sf_dir):
     return ds.get_var("t").select("goff", "value")
 
 
+@query(
+    f"""WITH r AS (SELECT unnest([0, 1]) AS rec), c AS (SELECT CAST(rec AS INTEGER) AS rec, event_id AS goff, value FROM r, events)
+    SELECT rec, goff, CASE WHEN goff // 100 BETWEEN 1 AND 3 AND goff % 100 BETWEEN 40 AND 49 THEN CAST(rec * 30 + (goff // 100 - 1) * 10 + goff % 100 - 40 AS DOUBLE)
+    WHEN rec = 0 THEN value ELSE {TYPES["double"].fill!r} END AS value FROM c"""
+)
+def put_vara_new_record(spark, sf_dir):
+    """A slab over a record that is there and one that isn't: the rest of the new one is filled."""
+    ds = _stored(spark, sf_dir, record=True)
+    ds.put_vara("t", [0, 1, 40], [2, 3, 10], spark.range(60).select(F.col("id").alias("k"), F.col("id").cast("double").alias("value")))
+    return ds.get_var("t").select("rec", "goff", "value")
+
+
 @query("SELECT event_id AS goff, CASE WHEN event_id // 100 IN (0, 2, 4) AND event_id % 100 IN (1, 51) THEN -1.0 ELSE value END AS value FROM events")
 def put_vars_upsert(spark, sf_dir):
     ds = _stored(spark, sf_dir)
@@ -348,35 +368,46 @@ def put_var_whole(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT min(CAST(ts AS DATE)) AS d0 FROM events), r AS (SELECT *, date_diff('day', d0, CAST(ts AS DATE)) AS rec FROM events, b),
-    k AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY event_id) - 1 AS k, value FROM r)
-    SELECT CAST(k // 4 AS INTEGER) AS task, k % 4 AS k, value FROM k WHERE rec = 1 AND k < 16"""
+    f"""WITH b AS (SELECT min(CAST(ts AS DATE)) AS d0 FROM events), r AS (SELECT *, CAST(date_diff('day', d0, CAST(ts AS DATE)) AS INTEGER) AS rec FROM events, b),
+    k AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY event_id) - 1 AS goff, value FROM r), m AS (SELECT max(goff) + 1 AS most FROM k),
+    f AS (SELECT rec, goff, most FROM (SELECT DISTINCT rec FROM k), (SELECT most, unnest(range(most)) AS goff FROM m))
+    SELECT f.rec, CAST(f.goff // ((most + 3) // 4) AS INTEGER) AS task, f.goff % ((most + 3) // 4) AS k, coalesce(value, {TYPES["double"].fill!r}) AS value FROM f LEFT JOIN k ON k.rec = f.rec AND k.goff = f.goff"""
 )
 def get_vard_frame(spark, sf_dir):
+    """Every day is a record as long as the day of most events; shorter ones are filled. All are written and read by one decomposition."""
     from pyspark.sql import Window
 
     ev = _events(spark, sf_dir)
     first = ev.agg(F.to_date(F.min("ts"))).first()[0]
-    rows = ev.select("event_id", "value", F.datediff("ts", F.lit(first)).alias("rec")).where("rec <= 1")
-    rows = rows.withColumn("goff", (F.row_number().over(Window.partitionBy("rec").orderBy("event_id")) - 1).cast("bigint")).where("goff < 16")
+    rows = ev.select("event_id", "value", F.datediff("ts", F.lit(first)).alias("rec"))
+    rows = rows.withColumn("goff", (F.row_number().over(Window.partitionBy("rec").orderBy("event_id")) - 1).cast("bigint"))
+    most = rows.groupBy("rec").count().agg(F.max("count")).first()[0]
     session = _session(spark)
     ds = Dataset.create(session, scratch_path(spark, "grid"))
-    ds.def_var("t", "double", [ds.def_dim("day", UNLIMITED), ds.def_dim("n", 16)])
+    ds.def_var("t", "double", [ds.def_dim("day", UNLIMITED), ds.def_dim("n", most)])
     ds.enddef()
-    d = Decomposition.block(session, (16,))
-    for rec in (0, 1):
-        ds.put_vard("t", d, rec, _local(d, rows.where(F.col("rec") == rec).select("goff", "value")))
-    return ds.get_vard("t", d, 1)
+    d = Decomposition.block(session, (most,))
+    ds.write_frames("t", d, _local(d, rows.select("rec", "goff", "value")))
+    return ds.read_frames("t", d)
 
 
 @query("SELECT event_id AS goff, CAST(trunc(value) AS INTEGER) AS value FROM events")
 def type_cast_int(spark, sf_dir):
-    return _values(spark, sf_dir).select("goff", converted(F.col("value"), grid_type("int"), grid_type("double")).alias("value"))
+    return _stored(spark, sf_dir).get_var("t", as_type="int").select("goff", "value")
 
 
 @query("SELECT vec_id, CAST(j - 1 AS INTEGER) AS j, embedding[j] AS val FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS j FROM embeddings)")
 def dense_2d_read(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "val"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "value"))
+    session, dims = _session(spark), (_table(spark, sf_dir, "embeddings").count(), 64)
+    ds = Dataset.create(session, scratch_path(spark, "grid"))
+    ds.def_var("v", "float", [ds.def_dim("vector", dims[0]), ds.def_dim("place", dims[1])])
+    ds.enddef()
+    d = Decomposition.block(session, dims, type="float")
+    ds.write_darray("v", d, _local(d, rows.select(offset([F.col("vec_id"), F.col("j")], dims).alias("goff"), "value")))
+    ds.sync()
+    at = coordinates(F.col("goff"), dims)
+    return ds.get_var("v").select(at[0].alias("vec_id"), at[1].cast("int").alias("j"), F.col("value").alias("val"))
 
 
 @query("SELECT vec_id * 64 + j - 1 AS goff, embedding[j] AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS j FROM embeddings) WHERE vec_id % 5 = 0 AND (j - 1) % 8 = 0")
@@ -409,23 +440,19 @@ def _daily(spark, sf_dir) -> tuple[DataFrame, int]:
     return days, first
 
 
-DAYS = "WITH b AS (SELECT min(CAST(ts AS DATE)) AS d0 FROM events), r AS (SELECT CAST(date_diff('day', d0, CAST(ts AS DATE)) AS INTEGER) AS rec, event_id % 8 AS goff FROM events, b), d AS (SELECT rec, goff, count(*) AS value FROM r WHERE rec < 4 GROUP BY 1, 2), f AS (SELECT rec, goff FROM (SELECT DISTINCT rec FROM d), (SELECT unnest(range(8)) AS goff))"
+DAYS = "WITH b AS (SELECT min(CAST(ts AS DATE)) AS d0 FROM events), r AS (SELECT CAST(date_diff('day', d0, CAST(ts AS DATE)) AS INTEGER) AS rec, event_id % 8 AS goff FROM events, b), d AS (SELECT rec, goff, count(*) AS value FROM r GROUP BY 1, 2), f AS (SELECT rec, goff FROM (SELECT DISTINCT rec FROM d), (SELECT unnest(range(8)) AS goff))"
 
 
 def _appended(spark, sf_dir) -> Dataset:
+    """Every day is a record of eight counts; slots without events are filled."""
     session = _session(spark)
     days, _ = _daily(spark, sf_dir)
-    days = days.where("rec < 4").cache()
     ds = Dataset.create(session, scratch_path(spark, "grid"))
     ds.def_var("n", "int64", [ds.def_dim("day", UNLIMITED), ds.def_dim("slot", 8)])
     ds.def_var_fill("n", True, 0)
     ds.enddef()
-    for rec in sorted(r[0] for r in days.select("rec").distinct().collect()):
-        mine = days.where(F.col("rec") == rec).select("goff", "value")
-        d = Decomposition.of(mine.select(F.lit(0).alias("task"), F.col("goff").alias("k"), "goff"), (8,), type="int64")
-        ds.write_darray("n", d, _local(d, mine), rec=rec)
-        ds.sync()
-    days.unpersist()
+    d = Decomposition.block(session, (8,), type="int64")
+    ds.write_frames("n", d, _local(d, days))
     return ds
 
 
@@ -439,24 +466,51 @@ def record_last(spark, sf_dir):
     return spark.createDataFrame([(_appended(spark, sf_dir).num_records("n"),)], "n_records int")
 
 
-@query("SELECT CAST(event_id // 250 AS INTEGER) AS rec, event_id % 250 AS goff, value FROM events WHERE event_id < 1000")
+HALVES = "WITH n AS (SELECT (count(*) + {0} - 1) // {0} AS each FROM events), g AS (SELECT each, unnest(range({0} * each)) AS i FROM n)"
+
+
+@query(f"{HALVES.format(4)} SELECT CAST(i // each AS INTEGER) AS rec, i % each AS goff, coalesce(value, {TYPES['double'].fill!r}) AS value FROM g LEFT JOIN events ON event_id = i")
 def record_stream(spark, sf_dir):
+    """All events, as a stream of four records."""
     from ..streaming.records import append_records
 
+    each = -(-_events(spark, sf_dir).count() // 4)
     session, source = _session(spark), scratch_path(spark, "source")
     ds = Dataset.create(session, scratch_path(spark, "grid"))
-    ds.def_var("t", "double", [ds.def_dim("time", UNLIMITED), ds.def_dim("x", 250)])
+    ds.def_var("t", "double", [ds.def_dim("time", UNLIMITED), ds.def_dim("x", each)])
     ds.enddef()
-    d = Decomposition.block(session, (250,))
-    rows = _values(spark, sf_dir).where("goff < 1000")
+    d = Decomposition.block(session, (each,))
+    rows = spark.range(4 * each).join(_values(spark, sf_dir), F.col("id") == F.col("goff"), "left").select("id", F.coalesce("value", F.lit(TYPES["double"].fill)).alias("value"))
     for rec in range(4):
-        local = _local(d, rows.where(F.floor(F.col("goff") / 250) == rec).select((F.col("goff") % 250).alias("goff"), "value"))
+        local = _local(d, rows.where(F.floor(F.col("id") / each) == rec).select((F.col("id") % each).alias("goff"), "value"))
         local.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("task int, k bigint, value double").option("maxFilesPerTrigger", 1).parquet(source)
     append_records(stream, ds, "t", d, scratch_path(spark, "stream")).awaitTermination()
     return ds.get_var("t").select("rec", "goff", "value")
 
 
+@query(f"{HALVES.format(2)} SELECT CAST(i // each AS INTEGER) AS rec, i % each AS goff, coalesce(value, {TYPES['double'].fill!r}) AS value FROM g LEFT JOIN events ON event_id = i")
+def frames_advance(spark, sf_dir):
+    """One record in the frame that is set, the next one after reopening and advancing; the second is stored in the background."""
+    each = -(-_events(spark, sf_dir).count() // 2)
+    session = _session(spark)
+    ds = Dataset.create(session, scratch_path(spark, "grid"))
+    ds.def_var("t", "double", [ds.def_dim("time", UNLIMITED), ds.def_dim("x", each)])
+    ds.enddef()
+    d = Decomposition.block(session, (each,))
+    rows = spark.range(2 * each).join(_values(spark, sf_dir), F.col("id") == F.col("goff"), "left").select("id", F.coalesce("value", F.lit(TYPES["double"].fill)).alias("value"))
+    half = lambda rec: _local(d, rows.where(F.floor(F.col("id") / each) == rec).select((F.col("id") % each).alias("goff"), "value"))
+    ds.set_frame("t", 0)
+    ds.write_darray("t", d, half(0))
+    ds.close()
+    again = Dataset.open(session, ds.path, writable=True)
+    again.set_frame("t", again.num_records("t") - 1)
+    again.advance_frame("t")
+    again.write_darray("t", d, half(1))
+    again.sync_later().result()
+    return again.get_var("t").select("rec", "goff", "value")
+
+
 # Stored forms
 
 
@@ -496,7 +550,14 @@ def grid_source(spark, sf_dir):
     return spark.read.format("grid").option("variable", "t").load(ds.path).select("goff", "value")
 
 
-@query()
+@query(
+    """WITH v AS (SELECT event_id AS goff, value AS v, abs(value) AS s FROM events), e AS (SELECT *, floor(log2(s)) AS near FROM v WHERE s > 0),
+    p AS (SELECT *, near + CASE WHEN s >= pow(2.0, near + 1) THEN 1 WHEN s < pow(2.0, near) THEN -1 ELSE 0 END AS e FROM e),
+    k AS (SELECT *, least(greatest(ceil(e - (floor(log10(s)) + 1 - 3) * log2(10)), 0), 52) AS keep FROM p),
+    q AS (SELECT goff, v, round_even(v / pow(2.0, e - 10), 0) * pow(2.0, e - 10) AS bitround, round_even(v / pow(2.0, e - keep), 0) * pow(2.0, e - keep) AS granular,
+      sign(v) * (floor(s / pow(2.0, e - 11)) * pow(2.0, e - 11) + CASE WHEN goff % 2 = 1 THEN pow(2.0, e - 11) - pow(2.0, e - 52) ELSE 0 END) AS bitgroom FROM k)
+    SELECT v.goff, coalesce(bitround, v.v) AS bitround, coalesce(granular, v.v) AS granular, coalesce(bitgroom, v.v) AS bitgroom FROM v LEFT JOIN q ON q.goff = v.goff"""
+)
 def quantize(spark, sf_dir):
     return _values(spark, sf_dir).select("goff", quantized("value", "bitround", 10).alias("bitround"), quantized("value", "granular_bitround", 3).alias("granular"), quantized("value", "bitgroom", 3).alias("bitgroom"))
 
@@ -540,21 +601,83 @@ def catalog_atts(spark, sf_dir):
     return _catalogued(spark).catalog.atts_table(spark).withColumn("values", F.array_join("values", ","))
 
 
-@query()
+@query("SELECT 3 AS ndims, 2 AS nvars, 1 AS ngatts, 0 AS unlimdimid, 'netcdf4p' AS format")
+def dataset_inquire(spark, sf_dir):
+    ds = _catalogued(spark)
+    ds.close()
+    found = Dataset.open(ds.session, ds.path).catalog.inquire()
+    return spark.createDataFrame([(found["ndims"], found["nvars"], found["ngatts"], found["unlimdimid"], found["format"])], "ndims int, nvars int, ngatts int, unlimdimid int, format string")
+
+
+@query("SELECT * FROM (VALUES ('chunks', '1,2,3'), ('codec', 'zstd'), ('endian', 'little'), ('filters', '32015'), ('refused', 'ENOTNC4')) t(key, value)")
+def storage_options(spark, sf_dir):
+    """What is kept of a variable's storage after reopening, and that classic formats have none."""
+    ds = Dataset.create(_session(spark), scratch_path(spark, "grid"))
+    ds.def_var("v", "float", [ds.def_dim(n, k) for n, k in (("z", 2), ("y", 4), ("x", 6))])
+    ds.storage("v", chunks=[1, 2, 3], endian="little")
+    ds.def_filter("v", 32015, [3])
+    ds.enddef()
+    ds.close()
+    again = Dataset.open(ds.session, ds.path)
+    kept = again.catalog.storage("v")
+    classic = Dataset.create(_session(spark), scratch_path(spark, "grid"), format="netcdf")
+    classic.def_var("v", "float", [classic.def_dim("x", 2)])
+    try:
+        classic.storage("v", endian="little")
+        refused = ""
+    except GridError as e:
+        refused = Code(e.code).name
+    rows = [("chunks", ",".join(map(str, kept["chunks"]))), ("codec", again.catalog.codec("v")), ("endian", kept["endian"]), ("filters", ",".join(map(str, again.catalog.filter_ids("v")))), ("refused", refused)]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS goff, CASE WHEN s_nationkey % 2 = 0 THEN s_acctbal * 2 ELSE s_acctbal END AS value FROM supplier")
+def features_write(spark, sf_dir):
+    f = Features.load(spark, f"{sf_dir}/supplier.parquet", "s_suppkey")
+    new = f.df.where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("goff"), (F.col("s_acctbal") * 2).alias("value"))
+    return f.write_field("s_acctbal", new).field("s_acctbal")
+
+
+@query(f"{MAP} SELECT task, k, goff AS value FROM m")
+def sorted_inverse(spark, sf_dir):
+    """Values moved to offset order and back again."""
+    d = _unsorted(spark, sf_dir)
+    remap = d.remapped()
+    there = sorted_copy(d.map.select("task", "k", F.col("goff").alias("value")), remap)
+    return sorted_copy(there, remap, inverse=True)
+
+
+def _values_sql(rows: list[tuple], columns: str) -> str:
+    """The rows as a literal table."""
+    text = lambda x: "chr(0)" if x == "\0" else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"CAST({x} AS INTEGER)"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({columns})"
+
+
+_CODE_ROWS = [(k, int(v), t) for k, (v, t) in _CODES.items()]
+_TYPE_ROWS = [(t.number, t.name, t.bytes, t.spark.simpleString(), str(t.fill), t.classic) for t in TYPES.values()]
+
+
+@query(_values_sql(_CODE_ROWS, "name, code, text"))
 def error_codes(spark, sf_dir):
-    return spark.createDataFrame([(k, v, t) for k, (v, t) in _CODES.items()], "name string, code int, text string")
+    return spark.createDataFrame([(k, int(Code[k]), strerror(Code[k])) for k, _, _ in _CODE_ROWS], "name string, code int, text string")
 
 
-@query()
+@query(_values_sql(_TYPE_ROWS, "number, name, bytes, spark_type, fill, classic"))
 def type_table(spark, sf_dir):
-    return spark.createDataFrame([(t.number, t.name, t.bytes, t.spark.simpleString(), str(t.fill), t.classic) for t in TYPES.values()], "number int, name string, bytes int, spark_type string, fill string, classic boolean")
+    found = [grid_type(n) for n, *_ in _TYPE_ROWS]
+    return spark.createDataFrame([(t.number, t.name, t.bytes, t.spark.simpleString(), str(t.fill), t.classic) for t in found], "number int, name string, bytes int, spark_type string, fill string, classic boolean")
 
 
-@query("WITH k AS (SELECT DISTINCT l_orderkey AS goff FROM lineitem), r AS (SELECT goff, goff - row_number() OVER (ORDER BY goff) AS key FROM k) SELECT CAST(1 AS INTEGER) AS block FROM (SELECT count(*) FROM r)")
+@query(
+    """WITH k AS (SELECT DISTINCT l_orderkey AS goff FROM lineitem), r AS (SELECT goff, goff - row_number() OVER (ORDER BY goff) AS key FROM k),
+    s AS (SELECT min(goff) AS start, count(*) AS n FROM r GROUP BY key), g AS (SELECT start - lag(start + n) OVER (ORDER BY start) AS gap FROM s),
+    x AS (SELECT n AS v FROM s UNION SELECT gap FROM g WHERE gap IS NOT NULL UNION SELECT min(goff) FROM k)
+    SELECT CAST(greatest(1, list_reduce(list(CAST(v AS BIGINT)), lambda a, b: gcd(a, b))) AS BIGINT) AS block FROM x"""
+)
 def gcd_blocks(spark, sf_dir):
-    """The common block length of one rank's map: 257 holes leave runs without a common length."""
-    first = [r[0] for r in _order_map(spark, sf_dir).map.where("goff < 4096").select("goff").orderBy("goff").collect()]
-    return spark.createDataFrame([(gcd_block(first),)], "block int")
+    """The common block length of the order map."""
+    d = _order_map(spark, sf_dir)
+    return rearrange.block_length(d.map, d.size)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def write_tables(decomposition: Decomposition, path: str, title: str = "", histo
     """`path`/header (one row) and `path`/map (task, map_element, map: 0-based, -1 for holes)."""
     require(order in (C_ORDER, FORTRAN_ORDER), Code.EINVAL, order)
     spark = decomposition.map.sparkSession
-    decomposition.map.select("task", F.col("k").cast("int").alias("map_element"), F.coalesce("goff", F.lit(-1)).cast("int").alias("map")).write.mode("overwrite").parquet(f"{path}/map")
+    decomposition.map.select("task", F.col("k").cast("int").alias("map_element"), F.coalesce("goff", F.lit(-1)).alias("map")).write.mode("overwrite").parquet(f"{path}/map")
     sizes = {r["task"]: r["maplen"] for r in decomposition.local_sizes().collect()}  # one number a rank
     ranks = max(sizes, default=-1) + 1
     lens = [sizes.get(t, 0) for t in range(ranks)]
