@@ -1,8 +1,8 @@
 """Removal of repeated multi-line chunks, in DataFrame operations only.
 
-Lines are hashed; a rolling hash over each line and the one before it chooses where chunks end. The choice looks at
-neighbouring lines only, so chunks of a passage come out alike wherever it stands. No chunk of a text of two lines or more
-has fewer than two lines. Chunks whose digest occurs more than once are compared byte by byte, and all but the first
+Lines are hashed; a chunk ends where the rolling hash over a line and the one before it is less than its neighbours on both
+sides. The choice looks at four lines only, so chunks of a passage come out alike wherever it stands. They have three lines
+on average; no chunk of a text of two lines or more has fewer than two. Chunks whose digest occurs more than once are compared byte by byte, and all but the first
 (least doc_id, then place) are removed.
 
 Only digests and places are shuffled to find repeats, with map-side combining. Texts move once, to meet the list of their
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ._shared import kept
 
-#: One in so many line pairs ends a chunk.
-MODULUS = 3
 FACTOR = 31
+MODULUS = 4294967291
 
 
 def _line_hash(line: Column) -> Column:
@@ -34,12 +33,15 @@ def chunked(docs: DataFrame) -> DataFrame:
     """`docs` with __lines and __chunks: an array of (from, lines) for texts that aren't null. Line numbers start at 0."""
     out = docs.withColumn("__lines", F.split(F.col("text").cast("string"), "\n", -1))
     out = out.withColumn("__hash", F.transform("__lines", _line_hash))
-    out = out.withColumn("__end", F.zip_with(_later(F.col("__hash"), F.lit(None).cast("bigint")), "__hash", lambda p, h: F.coalesce(F.pmod(p * FACTOR + h, F.lit(MODULUS)) == 0, F.lit(False))))
-    out = out.withColumn("__end", F.zip_with(_later(F.col("__end"), F.lit(False)), "__end", lambda p, e: e & ~p)).withColumn("__n", F.size("__lines"))
-    ends = F.transform("__end", lambda e, i: F.when((i + 1 == F.col("__n")) | (e & (i >= 1) & (i + 1 <= F.col("__n") - 2)), i + 1))
+    out = out.withColumn("__roll", F.zip_with(_later(F.col("__hash"), F.lit(None).cast("bigint")), "__hash", lambda p, h: F.pmod(p * FACTOR + h, F.lit(MODULUS)))).withColumn("__n", F.size("__lines"))
+
+    def least(x: Column, i: Column) -> Column:
+        return F.coalesce(x < F.get("__roll", i - 1), F.lit(True)) & (x <= F.get("__roll", i + 1))
+
+    ends = F.transform("__roll", lambda x, i: F.when((i + 1 == F.col("__n")) | ((i >= 1) & (i + 1 <= F.col("__n") - 2) & least(x, i)), i + 1))
     out = out.withColumn("__end", F.filter(ends, lambda e: e.isNotNull()))
     chunks = F.zip_with(_later(F.col("__end"), F.lit(0)), "__end", lambda a, b: F.struct(a.alias("from"), (b - a).alias("lines")))
-    return out.withColumn("__chunks", chunks).drop("__hash", "__end", "__n")
+    return out.withColumn("__chunks", chunks).drop("__hash", "__roll", "__end", "__n")
 
 
 def _chunk_text(chunk: Column) -> Column:
@@ -115,8 +117,8 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = f"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 hashed AS (SELECT *, len(lines) AS n, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM split),
-ends AS (SELECT *, list_filter(range(1, n + 1), lambda i: i = n OR (i >= 2 AND i <= n - 2 AND (h[i - 1] * {FACTOR} + h[i]) % {MODULUS} = 0
-  AND NOT (i >= 3 AND (h[i - 2] * {FACTOR} + h[i - 1]) % {MODULUS} = 0))) AS e FROM hashed),
+rolled AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN i > 1 THEN (h[i - 1] * {FACTOR} + h[i]) % {MODULUS} END) AS g FROM hashed),
+ends AS (SELECT *, list_filter(range(1, n + 1), lambda i: i = n OR (i >= 2 AND i <= n - 2 AND (i = 2 OR g[i] < g[i - 1]) AND g[i] <= g[i + 1])) AS e FROM rolled),
 chunks AS (SELECT doc_id, lines, n, k, CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END AS a, e[k] AS b FROM (SELECT *, unnest(range(1, len(e) + 1)) AS k FROM ends)),
 texts AS (SELECT doc_id, n, k, b - a + 1 AS size, array_to_string(lines[a:b], chr(10)) AS body FROM chunks),
 ranked AS (SELECT *, size > 1 AND row_number() OVER (PARTITION BY size > 1, body ORDER BY doc_id, k) > 1 AS gone FROM texts)
