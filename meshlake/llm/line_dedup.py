@@ -35,10 +35,10 @@ def chunked(docs: DataFrame) -> DataFrame:
     out = out.withColumn("__hash", F.transform("__lines", _line_hash))
     out = out.withColumn("__roll", F.zip_with(_later(F.col("__hash"), F.lit(None).cast("bigint")), "__hash", lambda p, h: F.pmod(p * FACTOR + h, F.lit(MODULUS)))).withColumn("__n", F.size("__lines"))
 
-    def least(x: Column, i: Column) -> Column:
-        return F.coalesce(x < F.get("__roll", i - 1), F.lit(True)) & (x <= F.get("__roll", i + 1))
-
-    ends = F.transform("__roll", lambda x, i: F.when((i + 1 == F.col("__n")) | ((i >= 1) & (i + 1 <= F.col("__n") - 2) & least(x, i)), i + 1))
+    after = F.concat(F.slice("__roll", 2, F.greatest(F.col("__n") - 1, F.lit(0))), F.array(F.lit(None).cast("bigint")))
+    pairs = F.zip_with(_later(F.col("__roll"), F.lit(None).cast("bigint")), "__roll", lambda p, x: F.struct(p.alias("p"), x.alias("x")))
+    least = F.zip_with(pairs, after, lambda s, y: F.coalesce(s["x"] < s["p"], F.lit(True)) & F.coalesce(s["x"] <= y, F.lit(False)))
+    ends = F.transform(least, lambda e, i: F.when((i + 1 == F.col("__n")) | (e & (i >= 1) & (i + 1 <= F.col("__n") - 2)), i + 1))
     out = out.withColumn("__end", F.filter(ends, lambda e: e.isNotNull()))
     chunks = F.zip_with(_later(F.col("__end"), F.lit(0)), "__end", lambda a, b: F.struct(a.alias("from"), (b - a).alias("lines")))
     return out.withColumn("__chunks", chunks).drop("__hash", "__roll", "__end", "__n")
@@ -95,8 +95,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     left = F.array_join(F.transform(F.filter("__flagged", lambda x: ~x["gone"]), lambda x: _chunk_text(x["c"])), "\n")
     removed = F.aggregate(F.filter("__flagged", lambda x: x["gone"]), F.lit(0), lambda n, x: n + x["c"]["lines"])
     text = F.when(F.col("__flagged").isNotNull(), left).otherwise(F.col("text").cast("string"))
-    rest = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return cut.select(*rest, F.greatest(F.size("__lines"), F.lit(0)).alias("__n_lines"), F.coalesce(removed, F.lit(0)).alias("__n_removed"))
+    # a generator: filters on what it makes aren't pushed below, where they would work out all of it once more for each line
+    made = F.struct(text.alias("text"), F.greatest(F.size("__lines"), F.lit(0)).alias("__n_lines"), F.coalesce(removed, F.lit(0)).alias("__n_removed"))
+    out = cut.select(*[F.col(c) for c in docs.columns if c != "text"], F.inline(F.array(made)))
+    return out.select(*docs.columns, "__n_lines", "__n_removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
