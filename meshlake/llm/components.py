@@ -28,9 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """`edges` (a, b: bigint) to (node, root): every node that has an edge and isn't its component's least node.
 
-    Empty input gives an empty table; loops and repeated edges don't matter; edges with a null end are ignored.
+    Empty input gives an empty table; loops and repeated edges don't matter; edges with a null end are ignored. A round reads
+    its edges twice, so `edges` is kept as a table first: spanning forests that come out otherwise when they are computed again
+    would lose links.
     """
-    edges = edges.select("a", "b").where("a != b").distinct()
+    edges = kept(edges.select("a", "b").where("a != b").distinct(), "edges")
     state = None
     for _ in range(max_rounds):
         edges = kept(_small_star(_large_star(edges)), "stars")

@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     """
     rows = kept(fingerprints(docs, shingle, seed), "fingerprints")
     fps = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    star = components(kept(links(fps.select("fp"), fps.count(), radius, cap), "links"))
+    star = components(links(fps.select("fp"), fps.count(), radius, cap))
     rooted = fps.join(star, fps["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -374,7 +374,7 @@ def _walk_bands(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, start in _cells(batches, 5 + WORDS, 4):
             fp, cell = held[5:].view(np.uint64), np.repeat(np.arange(len(start) - 1), np.diff(start))
-            order = np.lexsort((*fp[::-1], cell))
+            order = np.lexsort((held[4], *fp[::-1], cell))  # ids too: a task that is repeated returns the same forest
             ends = np.stack([start[:-1], start[1:]] * 2 + [np.zeros(len(start) - 1, np.int64)] * 2, axis=1)
             i, j = Walk(np.ascontiguousarray(fp[:, order].T), allow).run(ends[np.diff(start) > 1]).forest()
             if len(i):
@@ -432,7 +432,7 @@ def similar_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (root, c0, c1, id, shingles) sorted by the first three to the edges of each cell's exact forest."""
+    """Rows (root, c0, c1, id, shingles) sorted by the first four to the edges of each cell's exact forest."""
 
     def edges(rows: dict[int, bytes]) -> pa.RecordBatch:
         ids = np.array(list(rows), np.int64)
@@ -477,7 +477,8 @@ def similar_groups(members: DataFrame, part: int = PART) -> DataFrame:
     group = ["root", "c0", "c1"]
 
     def links(cells: DataFrame) -> DataFrame:
-        dealt = cells.select(*group, "id", "shingles").repartition(partitions(spark), *group).sortWithinPartitions(*group)
+        dealt = cells.select(*group, "id", "shingles").repartition(partitions(spark), *group)
+        dealt = dealt.sortWithinPartitions(*group, "id")  # the forest follows this order, which a task that is repeated meets again
         return dealt.mapInArrow(_confirm, "a bigint, b bigint")
 
     many = members.groupBy("root").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).where("parts > 1")
@@ -508,7 +509,7 @@ def _grouped(docs: DataFrame, radius: int, cap: int, part: int) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     rows = kept(wide_fingerprints(docs), "fingerprints")
     fps = kept(rows.groupBy("id", *words).agg(F.min(F.struct("doc_id", "key")).alias("row")), "distinct")
-    star = components(kept(wide_links(fps, radius, cap).distinct(), "links"))
+    star = components(wide_links(fps, radius, cap))
     named = kept(fps.withColumn("own", F.col("id")).join(star, F.col("id") == F.col("node"), "left").select("own", "row", F.coalesce("root", "id").alias("id")), "named")
     many = kept(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("root")), "groups")  # a join of tables, which is split where it is skewed
     members = named.join(many, named["id"] == many["root"]).select("root", F.col("own").alias("id"), "row.*")

@@ -151,6 +151,37 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_forests_that_differ_each_time(spark):
+    """Edges of a lazy table may be another spanning forest whenever they are computed; no link may be lost by that."""
+
+    def forests(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for group in batch.column(0).to_pylist():
+                nodes = [group * 100 + i for i in random.SystemRandom().sample(range(60), 60)]
+                yield pa.record_batch([pa.array(nodes[1:]), pa.array([random.SystemRandom().choice(nodes[:i]) for i in range(1, 60)])], names=["a", "b"])
+
+    got = components(spark.range(1, 9).repartition(4).mapInArrow(forests, "a bigint, b bigint"))
+    assert {r.node: r.root for r in got.collect()} == {g * 100 + i: g * 100 for g in range(1, 9) for i in range(1, 60)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_forests_do_not_depend_on_the_order_of_arrival(seed):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    words = np.repeat(rng.integers(-(1 << 62), 1 << 62, (S.WORDS, 10)), 8, axis=1)
+    ids, cell = rng.permutation(80), np.zeros(80, np.int64)
+    names = ["band", "top", "c0", "c1", "id", *(f"f{k}" for k in range(S.WORDS))]
+
+    def edges(order):
+        batch = pa.record_batch([pa.array(c) for c in (*[cell] * 4, ids[order], *words[:, order])], names=names)
+        return [b.to_pydict() for b in S._walk_bands(S.WIDE_RADIUS)(iter([batch]))]
+
+    assert edges(np.arange(80)) == edges(rng.permutation(80)) != []
+
+
 def similar(a, b):
     grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
     x, y = grams(a), grams(b)
