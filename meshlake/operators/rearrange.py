@@ -20,6 +20,8 @@ from ..session import BOX, GridSession
 from .decomposition import Decomposition
 
 Box = list[tuple[int, int]]
+#: Cells (rows times columns) that one task is dealt where rows are sorted or joined; some 50 MB.
+TASK_CELLS = 1 << 21
 
 
 def _grid(boxes: Sequence[Box], dims: Sequence[int]) -> list[int] | None:
@@ -72,9 +74,24 @@ def assigned(session: GridSession, decomposition: Decomposition) -> DataFrame:
     return assign_subsets(decomposition.map.where("goff IS NOT NULL"), session.num_compute, session.num_io)
 
 
-def to_io(df: DataFrame, num_io: int) -> DataFrame:
-    """Rows of (io, goff, ...) moved to one partition for each I/O rank, in order of offset."""
-    return df.repartition(num_io, "io").sortWithinPartitions("io", "goff")
+def tasks(rows: int, columns: int) -> int:
+    """How many tasks share so many rows, so that what one holds doesn't grow with the array."""
+    return max(1, -(-rows * columns // TASK_CELLS))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """`df` in `n` partitions by `keys`; as it is where one task could hold all."""
+    return df.repartition(n, *keys) if n > 1 else df
+
+
+def to_io(df: DataFrame, num_io: int, rows: int) -> DataFrame:
+    """Rows of (io, goff, ...), `rows` of them at most, moved to one partition for each I/O rank, in order of offset.
+
+    Where that is more than a task should hold, ranks' partitions are cut at offsets.
+    """
+    n = tasks(rows, len(df.columns))
+    moved = df.repartitionByRange(max(n, num_io), "io", "goff") if n > 1 else df.repartition(num_io, "io")
+    return moved.sortWithinPartitions("io", "goff")
 
 
 def comm_matrix(assigned: DataFrame) -> DataFrame:
@@ -99,7 +116,8 @@ def deduplicated(assigned: DataFrame) -> DataFrame:
 def hole_grid(df: DataFrame, size: int, num_io: int | None = None, goff: str = "goff") -> DataFrame:
     """(goff) of all offsets below `size` that `df` lacks; with `num_io` also io: near-equal ranges of the array, larger ones last."""
     spark = df.sparkSession
-    holes = spark.range(size).select(F.col("id").alias("goff")).join(df.select(F.col(goff).alias("goff")), "goff", "left_anti")
+    n = tasks(size, 2)
+    holes = dealt(spark.range(size).select(F.col("id").alias("goff")), n, "goff").join(dealt(df.select(F.col(goff).alias("goff")), n, "goff"), "goff", "left_anti")
     if num_io is None:
         return holes
     return holes.withColumn("io", piece_of(F.col("goff"), size, num_io)[0].cast("int"))

@@ -61,9 +61,17 @@ def _session(spark: SparkSession, num_compute: int = 4, num_io: int = 2, **rest)
     return GridSession(spark, num_compute, num_io, blocksize=1024, **rest)
 
 
-def _local(decomposition: Decomposition, data: DataFrame) -> DataFrame:
-    """(task, k, ...) of global data (goff, ...)."""
-    return decomposition.map.join(data, "goff").drop("goff")
+def _local(decomposition: Decomposition, data: DataFrame, rows: int | None = None) -> DataFrame:
+    """(task, k, ...) of global data (goff, ...); `rows`: how many they are, if not one for each element."""
+    n = rearrange.tasks(decomposition.size if rows is None else rows, len(data.columns) + 2)
+    return rearrange.dealt(decomposition.map, n, "goff").join(rearrange.dealt(data, n, "goff"), "goff").drop("goff")
+
+
+def _filled(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """(id, value) of all offsets below `size`; those that no event has are filled."""
+    n = rearrange.tasks(size, 2)
+    ids, values = rearrange.dealt(spark.range(size), n, "id"), rearrange.dealt(_values(spark, sf_dir), n, "goff")
+    return ids.join(values, F.col("id") == F.col("goff"), "left").select("id", F.coalesce("value", F.lit(TYPES["double"].fill)).alias("value"))
 
 
 def _stored(spark: SparkSession, sf_dir: str, record: bool = False) -> Dataset:
@@ -387,7 +395,7 @@ def get_vard_frame(spark, sf_dir):
     ds.def_var("t", "double", [ds.def_dim("day", UNLIMITED), ds.def_dim("n", most)])
     ds.enddef()
     d = Decomposition.block(session, (most,))
-    ds.write_frames("t", d, _local(d, rows.select("rec", "goff", "value")))
+    ds.write_frames("t", d, _local(d, rows.select("rec", "goff", "value"), ev.count()))
     return ds.read_frames("t", d)
 
 
@@ -480,11 +488,14 @@ def record_stream(spark, sf_dir):
     ds.def_var("t", "double", [ds.def_dim("time", UNLIMITED), ds.def_dim("x", each)])
     ds.enddef()
     d = Decomposition.block(session, (each,))
-    rows = spark.range(4 * each).join(_values(spark, sf_dir), F.col("id") == F.col("goff"), "left").select("id", F.coalesce("value", F.lit(TYPES["double"].fill)).alias("value"))
+    rows = _filled(spark, sf_dir, 4 * each)
+    per = -(-each // rearrange.tasks(each, 4))
+    files = -(-each // per)  # of each record; none is without rows
+    goff = F.col("id") % each
     for rec in range(4):
-        local = _local(d, rows.where(F.floor(F.col("id") / each) == rec).select((F.col("id") % each).alias("goff"), "value"))
-        local.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("task int, k bigint, value double").option("maxFilesPerTrigger", 1).parquet(source)
+        local = _local(d, rows.where(F.floor(F.col("id") / each) == rec).select(goff.alias("goff"), "value", F.floor(goff / per).cast("int").alias("file")))
+        local.repartitionById(files, "file").drop("file").write.mode("append").parquet(source)
+    stream = spark.readStream.schema("task int, k bigint, value double").option("maxFilesPerTrigger", files).parquet(source)
     append_records(stream, ds, "t", d, scratch_path(spark, "stream")).awaitTermination()
     return ds.get_var("t").select("rec", "goff", "value")
 
@@ -498,7 +509,7 @@ def frames_advance(spark, sf_dir):
     ds.def_var("t", "double", [ds.def_dim("time", UNLIMITED), ds.def_dim("x", each)])
     ds.enddef()
     d = Decomposition.block(session, (each,))
-    rows = spark.range(2 * each).join(_values(spark, sf_dir), F.col("id") == F.col("goff"), "left").select("id", F.coalesce("value", F.lit(TYPES["double"].fill)).alias("value"))
+    rows = _filled(spark, sf_dir, 2 * each)
     half = lambda rec: _local(d, rows.where(F.floor(F.col("id") / each) == rec).select((F.col("id") % each).alias("goff"), "value"))
     ds.set_frame("t", 0)
     ds.write_darray("t", d, half(0))

@@ -112,14 +112,14 @@ class Dataset:
         df = spark.read.schema(f"goff bigint, value {kind}, rec int").parquet(self._folder(varid))
         return df if rec is None else df.where(F.col("rec") == rec)
 
-    def _store(self, varid: int | str, df: DataFrame, ordered: bool = False) -> None:
-        """Replace the records that `df` (rec, goff, value) holds; each file is in order of offset. `ordered`: the rows are so already."""
+    def _store(self, varid: int | str, df: DataFrame, rows: int | None = None) -> None:
+        """Replace the records that `df` (rec, goff, value) holds; each file is in order of offset. `rows`: how many they are at most; None: they are dealt and in order already."""
         v = self.catalog.var(varid)
         mode, digits = v.storage.get("quantize", ("none", 0))
         if mode != "none":
             df = df.withColumn("value", quantized("value", mode, digits, v.type == "double"))
-        if not ordered:
-            df = df.repartitionByRange(max(1, self.session.num_io), "rec", "goff").sortWithinPartitions("rec", "goff")
+        if rows is not None:
+            df = df.repartitionByRange(max(1, self.session.num_io, rearrange.tasks(rows, 3)), "rec", "goff").sortWithinPartitions("rec", "goff")
         out = df.select("goff", F.col("value").cast(grid_type(v.type).spark).alias("value"), "rec").write.mode("overwrite").partitionBy("rec")
         out.option("partitionOverwriteMode", "dynamic").option("compression", self.catalog.codec(varid)).parquet(self._folder(varid))
         v.written = True
@@ -187,11 +187,14 @@ class Dataset:
         for group in queue.values():
             decomposition = group[0][0]
             decomposition.check(writing=True)
-            moved = rearrange.assigned(self.session, decomposition).where("goff IS NOT NULL").select("task", "k", "goff", "io")
+            rows, holes = decomposition.facts()[2], decomposition.needs_fill()
+            n = rearrange.tasks(rows, 4 + sum(len(made) for *_, made in group))
+            moved = rearrange.dealt(rearrange.assigned(self.session, decomposition).where("goff IS NOT NULL").select("task", "k", "goff", "io"), n, "task", "k")
             for i, (_, df, made) in enumerate(group):
-                moved = moved.join(df.select("task", "k", *[F.col(column).alias(f"v{i}_{j}") for j, (_, column, *_) in enumerate(made)]), ["task", "k"])
-            moved = rearrange.to_io(moved, self.session.num_io)
-            holes = decomposition.needs_fill()
+                values = df.select("task", "k", *[F.col(column).alias(f"v{i}_{j}") for j, (_, column, *_) in enumerate(made)])
+                moved = moved.join(rearrange.dealt(values, n, "task", "k"), ["task", "k"])
+            if not holes or not all(m[-1] for *_, made in group for m in made):  # what is filled is dealt with its fill
+                moved = rearrange.to_io(moved, self.session.num_io, rows)
             again = len(group) > 1 or len(group[0][2]) > 1 or holes
             moved = moved.persist() if again else moved
             for i, (_, _, made) in enumerate(group):
@@ -200,7 +203,7 @@ class Dataset:
                     if filled:
                         t = grid_type(self.catalog.var(name).type)
                         value = value.unionByName(rearrange.hole_grid(value, decomposition.size).select("goff", fill_literal(t, fill).alias("value")))
-                    self._store(name, value.withColumn("rec", F.lit(rec)), ordered=not filled)
+                    self._store(name, value.withColumn("rec", F.lit(rec)), decomposition.size if filled else None)
             if again:
                 moved.unpersist()
         self.catalog.defining = False
@@ -221,10 +224,10 @@ class Dataset:
             moved = moved.persist()
             value = F.col("value").cast(grid_type(self.catalog.var(varid).type).spark).alias("value")
             moved_all = moved.select("rec", "goff", value).unionByName(self._fill_grid(varid, recs, decomposition.size, fill).join(moved.select("rec", "goff"), ["rec", "goff"], "left_anti"))
-            self._store(varid, moved_all)
+            self._store(varid, moved_all, len(recs) * decomposition.size)
             moved.unpersist()
         else:
-            self._store(varid, moved)
+            self._store(varid, moved, len(recs) * decomposition.facts()[2])
         self.catalog.defining = False
         self._save()
 
@@ -308,7 +311,8 @@ class Dataset:
         merged = slices.upserted(old, new, ("rec", "goff"))
         stage = f"{self.path}/stage-{uuid.uuid4().hex}"  # a table can't be replaced by what is read from it
         merged.write.parquet(stage)
-        self._store(varid, self.session.spark.read.parquet(stage))
+        merged = self.session.spark.read.parquet(stage)
+        self._store(varid, merged, merged.count())
         files.delete(self.session.spark, stage)
         self._save()
 
