@@ -17,6 +17,19 @@ from ..functions.layout import one_dim
 from ..session import BOX, SUBSET, GridSession
 from ..types import grid_type
 
+#: Cells (rows times columns) that one task is dealt where rows are sorted or joined; some 50 MB.
+TASK_CELLS = 1 << 21
+
+
+def tasks(rows: int, columns: int) -> int:
+    """How many tasks share so many rows, so that what one holds doesn't grow with the array."""
+    return max(1, -(-rows * columns // TASK_CELLS))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """`df` in `n` partitions by `keys`; as it is where one task could hold all."""
+    return df.repartition(n, *keys) if n > 1 else df
+
 
 @dataclass
 class Decomposition:
@@ -100,7 +113,9 @@ class Decomposition:
     def facts(self) -> tuple[int | None, int | None, int, bool]:
         """(least offset, greatest, how many, whether any repeats), from one pass over the map."""
         if self.known is None:
-            each = self.map.where("goff IS NOT NULL").groupBy("goff").agg(F.count("*").alias("n"))
+            there = self.map.where("goff IS NOT NULL")
+            n = min(tasks(self.size, 2), int(there.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a sparse array has fewer elements
+            each = dealt(there, n, "goff").groupBy("goff").agg(F.count("*").alias("n"))
             least, greatest, n, most = each.agg(F.min("goff"), F.max("goff"), F.sum("n"), F.max("n")).first()
             self.known = (least, greatest, n or 0, (most or 0) > 1)
         return self.known

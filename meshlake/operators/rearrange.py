@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 from ..errors import Code, require
 from ..functions.layout import box_split, coordinates, one_dim, piece_of, regions
 from ..session import BOX, GridSession
-from .decomposition import Decomposition
+from .decomposition import Decomposition, dealt, tasks
 
 Box = list[tuple[int, int]]
-#: Cells (rows times columns) that one task is dealt where rows are sorted or joined; some 50 MB.
-TASK_CELLS = 1 << 21
 
 
 def _grid(boxes: Sequence[Box], dims: Sequence[int]) -> list[int] | None:
@@ -74,16 +72,6 @@ def assigned(session: GridSession, decomposition: Decomposition) -> DataFrame:
     return assign_subsets(decomposition.map.where("goff IS NOT NULL"), session.num_compute, session.num_io)
 
 
-def tasks(rows: int, columns: int) -> int:
-    """How many tasks share so many rows, so that what one holds doesn't grow with the array."""
-    return max(1, -(-rows * columns // TASK_CELLS))
-
-
-def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """`df` in `n` partitions by `keys`; as it is where one task could hold all."""
-    return df.repartition(n, *keys) if n > 1 else df
-
-
 def to_io(df: DataFrame, num_io: int, rows: int) -> DataFrame:
     """Rows of (io, goff, ...), `rows` of them at most, moved to one partition for each I/O rank, in order of offset.
 

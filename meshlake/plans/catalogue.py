@@ -142,8 +142,14 @@ def decomp_unique_check(spark, sf_dir):
     return Decomposition.of(df, (1 << 40,)).duplicates()
 
 
+def _lines(spark, sf_dir, *columns) -> DataFrame:
+    """(goff, ...) of lineitem, with the lines of an order in one partition where they are many."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("goff"), *columns)
+    return rearrange.dealt(rows, rearrange.tasks(rows.count(), 2), "goff")
+
+
 def _order_map(spark, sf_dir) -> Decomposition:
-    keys = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("goff")).distinct()
+    keys = _lines(spark, sf_dir).distinct()
     df = keys.select((F.col("goff") % 4).alias("task"), F.floor(F.col("goff") / 4).alias("k"), "goff")
     return Decomposition.of(df, (_table(spark, sf_dir, "orders").count(),), type="int")
 
@@ -173,8 +179,8 @@ def fill_holes(spark, sf_dir):
     ds = Dataset.create(_session(spark), scratch_path(spark, "grid"))
     ds.def_var("q", "int", [ds.def_dim("order", d.size)])
     ds.enddef()
-    q = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("goff")).agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("value"))
-    ds.write_darray("q", d, _local(d, q))
+    q = _lines(spark, sf_dir, F.col("l_quantity").cast("int").alias("q")).groupBy("goff").agg(F.sum("q").cast("int").alias("value"))
+    ds.write_darray("q", d, d.map.join(q, "goff").drop("goff"))  # both are dealt by order
     ds.sync()
     return ds.get_var("q").select("goff", "value")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meshlake.catalog import UNLIMITED
 from meshlake.functions.layout import box_split
-from meshlake.operators import rearrange
+from meshlake.operators import decomposition, rearrange
 from meshlake.operators.decomposition import Decomposition
 from meshlake.plans import catalogue
 from meshlake.session import BOX, SUBSET, GridSession, scratch_path
@@ -14,7 +14,7 @@ from meshlake.sources.dataset import Dataset
 
 @pytest.fixture
 def small(monkeypatch):
-    monkeypatch.setattr(rearrange, "TASK_CELLS", 400, raising=False)
+    monkeypatch.setattr(decomposition, "TASK_CELLS", 400, raising=False)
 
 
 def by_file(df):
@@ -34,6 +34,16 @@ def test_record_stream_deals_no_record_to_one_task(spark, tmp_path, monkeypatch,
     assert max(by_file(got)) <= 160
 
 
+def test_fill_holes_deals_no_rank_to_one_task(spark, tmp_path, monkeypatch, small):
+    spark.range(1000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(3000).select((F.col("id") % 1000).alias("l_orderkey"), F.lit(2.0).alias("l_quantity")).where("l_orderkey % 7 != 3")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalogue, "scratch_path", lambda _, tag: f"file://{tmp_path}/{tag}")
+    got = catalogue.fill_holes(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(i, catalogue.FILL if i % 7 == 3 else 6) for i in range(1000)]
+    assert max(by_file(got)) <= 266
+
+
 @pytest.mark.parametrize("rearranger", [BOX, SUBSET])
 @pytest.mark.parametrize("use", [True, False])
 def test_frames_in_many_tasks(spark, small, rearranger, use):
