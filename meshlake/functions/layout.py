@@ -48,7 +48,7 @@ def piece_of(at: Column, size: int, parts: int) -> tuple[Column, Column, Column]
     late = at >= F.lit(base * plain)
     past = at - F.lit(base * plain)
     if not base:
-        return past, F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+        return F.lit(plain) + past, F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     piece = F.when(late, F.lit(plain) + F.floor(past / F.lit(base + 1))).otherwise(F.floor(at / F.lit(base)))
     return piece.cast("bigint"), F.when(late, past % F.lit(base + 1)).otherwise(at % F.lit(base)), F.when(late, F.lit(base + 1)).otherwise(F.lit(base)).cast("bigint")
 

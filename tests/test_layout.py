@@ -145,3 +145,11 @@ def test_boxes_by_arithmetic_and_by_bounds(spark):
         got = {r.goff: (r.io, r.ioff) for r in assign_boxes(df, dims, boxes).collect()}
         assert got.pop(None) == (None, None)
         assert got == {g: want.get(g, (None, None)) for g in range(prod(dims))}
+
+
+def test_piece_of_more_parts_than_indices(spark):
+    from pyspark.sql import functions as F
+
+    for size, parts in ((1, 2), (3, 9)):
+        rows = spark.range(size).select(*[c.alias(n) for c, n in zip(piece_of(F.col("id"), size, parts), ("piece", "at", "length"))]).collect()
+        assert sorted(map(tuple, rows)) == [(p, 0, 1) for p in range(parts) if one_dim(size, parts, p)[1]]
