@@ -50,6 +50,16 @@ def test_column_equals_model(spark):
     assert all(1 <= len(r) <= 3 for r in model.rules)
 
 
+def test_any_number_of_rules(spark):
+    rng = np.random.default_rng(2)
+    rules = [tuple((int(i), bool(rng.integers(2)), rng.integers(10) / 10) for i in rng.permutation(len(Q.STATS))[: rng.integers(1, 4)]) for _ in range(2000)]
+    model = Q.Ensemble(0.1, rules, rng.normal(0, 0.05, len(rules)).tolist())
+    stats = spark.createDataFrame((rng.integers(0, 10, (40, len(Q.STATS))) / 10).tolist(), ", ".join(f"{c} double" for c in Q.STATS))
+    got = stats.select(*Q.STATS, model.column().alias("s")).collect()
+    want = [0.1 + sum(w for rule, w in zip(rules, model.weights) if all((r[i] > cut) == above for i, above, cut in rule)) for r in got]
+    assert len(got) == 40 and np.allclose([r.s for r in got], 1 / (1 + np.exp(-np.array(want))))
+
+
 def test_lasso_is_sparse():
     rng = np.random.default_rng(1)
     x = (rng.random((400, 30)) < 0.5).astype(float)
